@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import packing, tokens
+from codeloom.llm import decontaminate, packing, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": tokens.op3_token_counts,
+    "op7_suffix_decontamination": decontaminate.op7_suffix_decontamination,
+    "op9_simhash_components": simhash.op9_simhash_components,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
