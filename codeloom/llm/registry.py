@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import decontaminate, packing, simhash, tokens
+from codeloom.llm import decontaminate, packing, quality, secret_scan, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": tokens.op3_token_counts,
+    "op4_quality_ranking": quality.op4_quality_ranking,
     "op7_suffix_decontamination": decontaminate.op7_suffix_decontamination,
+    "op8_secret_ledger": secret_scan.op8_secret_ledger,
     "op9_simhash_components": simhash.op9_simhash_components,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
