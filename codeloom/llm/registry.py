@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import decontaminate, licenses, minhash, packing, quality, secret_scan, simhash, tokens, urls
+from codeloom.llm import decontaminate, licenses, minhash, packing, quality, secret_scan, simhash, surrogates, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_fingerprints": minhash.op1_minhash_fingerprints,
+    "op2_surrogates": surrogates.op2_surrogates,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_quality_ranking": quality.op4_quality_ranking,
     "op5_licence_scan": licenses.op5_licence_scan,
