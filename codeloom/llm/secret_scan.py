@@ -103,13 +103,15 @@ def incremental_scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tu
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("version") == version).select("blob").distinct(), "blob", "left_anti")
     at = rows.alias("r").join(unseen.withColumnRenamed("blob", "unseen"), F.col("r.doc_id").eqNullSafe(F.col("first_id")) & (F.col("r.blob") == F.col("unseen")), "left_semi")
-    return paths, scan(at, rules, version)
+    # The ledger's new rows are written before anything filters them: a filter on findings would else move below the join and scan every copy.
+    return paths, checkpointed(scan(at, rules, version))
 
 
 def findings(paths: DataFrame, ledger: DataFrame, version: str = VERSION) -> DataFrame:
     """(doc_id, spans) of every row of ``paths``, clean ones with an empty list."""
     dirty = ledger.where((F.col("version") == version) & (F.size("spans") > 0))
-    dirty = dirty.groupBy("blob").agg(F.first("spans").alias("spans"))
+    # Written, so that both sides of the join are dealt anew and a blob of many copies can be split.
+    dirty = checkpointed(dirty.groupBy("blob").agg(F.first("spans").alias("spans")))
     joined = paths.join(dirty, "blob", "left")
     return joined.select("doc_id", F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")).alias("spans"))
 
