@@ -26,6 +26,9 @@ MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "г-н", "
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Госпожа", "г-жа", "Κυρία")
 NEUTRAL = ("Dr", "Prof")
 
+#: Exceptions that travel inside the plan as a map; more are joined to the documents that hold them.
+PLAN_EXCEPTIONS = 500
+
 _TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
 _NAME_WORD = r"\p{Lu}[\p{L}'’-]+"
 _PATTERNS = (
@@ -41,6 +44,11 @@ ENTITY = "|".join(f"(?:{p})" for p in _PATTERNS)
 KINDS = ("email", "iban", "ip", "ssn", "card", "phone", "name")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _kind(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email")
@@ -129,26 +137,37 @@ def _made_up(word: Column, digest: Column, gender: Column) -> Column:
 
 def surrogate(kind: Column, value: Column, tries: Column, key: str = KEY) -> Column:
     """The surrogate of an entity in canonical form."""
-    h = _digest(key, kind, value, tries)
-    digits, letters = _as_digits(h), _as_letters(h)
-    local = _laid_out(F.regexp_extract(value, "^([^@]*)@", 1), digits, letters)
-    local = F.concat(local, F.when(tries >= 4, F.substring(letters, 50, 6)).otherwise(""))  # short addresses run out of others
-    domain = _as_letters(F.substring(_digest(key, F.lit("domain"), F.regexp_extract(value, "@(.*)$", 1), F.lit(0)), 1, 10))
-    octet = lambda k: F.pmod(F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("long"), F.lit(256)).cast("string")
+    given = F.struct(kind.alias("kind"), value.alias("value"), tries.alias("tries"), _digest(key, kind, value, tries).alias("h"))
+
+    def spelt(x: Column) -> Column:
+        more = F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["tries"].alias("tries"), x["h"].alias("h"), _as_digits(x["h"]).alias("digits"), _as_letters(x["h"]).alias("letters"))
+        return _let(more, lambda y: _by_kind(y, key))
+
+    return _let(given, spelt)
+
+
+def _by_kind(y: Column, key: str) -> Column:
+    kind, value, h, digits, letters = (y[n] for n in ("kind", "value", "h", "digits", "letters"))
     size = F.length(value)
+    number = lambda k: F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("long")
+    # Short addresses are made longer, so that few of them collide.
+    local = F.regexp_extract(value, "^([^@]*)@", 1)
+    local = F.concat(_laid_out(local, digits, letters), F.substring(letters, F.lit(40), F.greatest(F.lit(0), 12 - F.length(local))), F.when(y["tries"] > 0, F.substring(letters, 54, 6)).otherwise(""))
+    domain = _as_letters(F.substring(_digest(key, F.lit("domain"), F.regexp_extract(value, "@(.*)$", 1), F.lit(0)), 1, 10))
+    octets = [F.pmod(number(0), F.lit(223)) + 1, *[F.pmod(number(k), F.lit(256)) for k in (1, 2, 3)]]
     body = F.substring(digits, F.lit(1), size - 1)
-    check = F.pmod(_luhn(value) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
+    card = _let(body, lambda d: F.concat(d, F.pmod(_luhn(value) - _luhn(F.concat(d, F.lit("0"))), F.lit(10)).cast("string")))
     gender = F.substring(value, 1, 1)
     words = F.split(F.substring(value, 3, 1000), " ")
-    named = F.array_join(F.transform(words, lambda w, i: _made_up(w, F.sha2(F.concat(h, i.cast("string")).cast("binary"), 256), F.when(i == 0, gender).otherwise("n"))), " ")
+    named = F.transform(words, lambda w, i: _let(F.sha2(F.concat(h, i.cast("string")).cast("binary"), 256), lambda d: _made_up(w, d, F.when(i == 0, gender).otherwise("n"))))
     return (
         F.when(kind == "email", F.concat(local, F.lit("@"), domain, F.lit(".example")))
-        .when(kind == "ip", F.concat_ws(".", F.lit("10"), octet(0), octet(1), octet(2)))
+        .when(kind == "ip", F.concat_ws(".", *[o.cast("string") for o in octets]))
         .when(kind == "iban", F.concat(F.substring(value, 1, 2), _laid_out(F.substring(value, 3, 1000), digits, letters)))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, F.lit(1), size - 1)))
-        .when(kind == "card", F.concat(body, check))
+        .when(kind == "card", card)
         .when(kind == "phone", F.concat_ws(":", F.substring_index(value, ":", 1), F.substring(digits, F.lit(1), F.length(F.substring_index(value, ":", -1)))))
-        .otherwise(F.concat(gender, F.lit(":"), named))
+        .otherwise(F.concat(gender, F.lit(":"), F.array_join(named, " ")))
     )
 
 
@@ -171,7 +190,12 @@ def _placed(kind: Column, m: Column, made: Column) -> Column:
 
 
 def _gate(text: Column) -> Column:
-    return text.contains("@") | text.rlike("[0-9]") | text.rlike(rf"(?:{_TITLES})\.? \p{{Lu}}")
+    """Whether an entity can be there; searches for fixed strings are much faster than a pattern of all titles."""
+    held = F.lit(False)
+    for t in (*MALE, *FEMALE, *NEUTRAL):
+        if not any(t != o and t.startswith(o) for o in (*MALE, *FEMALE, *NEUTRAL)):
+            held = held | text.contains(t)
+    return text.contains("@") | text.rlike("[0-9]") | (held & text.rlike(rf"(?:{_TITLES})\.? \p{{Lu}}"))
 
 
 def with_matches(docs: DataFrame) -> DataFrame:
@@ -217,20 +241,27 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     matches = with_matches(docs)
     tries = resolve(entities(matches), key).where("tries > 0")
-    none = F.expr("cast(null as map<string,int>)")
-    if tries.isEmpty():
-        rows = matches.withColumn("tries", none)
+    few = tries.limit(PLAN_EXCEPTIONS + 1).collect()
+    if len(few) <= PLAN_EXCEPTIONS:
+        known = {f"{r['kind']}\x1f{r['value']}": r["tries"] for r in sorted(few)}
+        literal = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known else F.expr("cast(map() as map<string,int>)")
+        rows, counts = matches, lambda k: F.try_element_at(literal, k)
     else:
         spelt = matches.select("doc_id", F.explode(F.array_distinct("found")).alias("m")).withColumn("kind", _kind(F.col("m")))
         spelt = spelt.select("doc_id", "kind", _canonical(F.col("kind"), F.col("m")).alias("value")).distinct()
         own = spelt.join(tries, ["kind", "value"]).groupBy(F.col("doc_id").alias("__id")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "value"), "tries"))).alias("tries"))
-        rows = matches.join(own, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+        rows, counts = matches.join(own, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id"), lambda k: F.try_element_at("tries", k)
 
     def changed(m: Column) -> Column:
-        kind = _kind(m)
-        value = _canonical(kind, m)
-        count = F.coalesce(F.try_element_at("tries", F.concat_ws("\x1f", kind, value)), F.lit(0))
-        return _placed(kind, m, surrogate(kind, value, count, key))
+        def valued(x: Column) -> Column:
+            return _let(F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _canonical(x["kind"], x["m"]).alias("value")), made)
+
+        def made(y: Column) -> Column:
+            count = F.coalesce(counts(F.concat_ws("\x1f", y["kind"], y["value"])), F.lit(0))
+            whole = F.struct(y["m"].alias("m"), y["kind"].alias("kind"), surrogate(y["kind"], y["value"], count, key).alias("made"))
+            return _let(whole, lambda z: _placed(z["kind"], z["m"], z["made"]))
+
+        return _let(F.struct(m.alias("m"), _kind(m).alias("kind")), valued)
 
     some = F.size("found") > 0
     rows = rows.withColumn("new", F.when(some, F.transform("found", changed)))
