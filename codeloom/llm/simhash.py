@@ -27,6 +27,8 @@ SEED = 42
 RADIUS = 4
 #: Rows of whole shards that a task searches at once (one larger shard is taken whole).
 BLOCK_ROWS = 60_000
+#: Pairs of query and row that are followed at once.
+WALK_PAIRS = 250_000
 #: Fingerprints that a shard should hold on average at most; more blocks are used beyond it.
 SHARD_ROWS = 2048
 _H = xxhash.xxh64_intdigest
@@ -95,22 +97,26 @@ class Forest:
 
     def walk(self, queries: np.ndarray, radius: int, enter: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query, node, distance) of every node within ``radius``; ``enter`` says which subtrees are worth it."""
-        q, node = queries, self.root[queries]
-        while len(q):
+        todo = [(queries, self.root[queries])]
+        while todo:
+            q, node = todo.pop()
             d = self.distance(q, node)
             near = d <= radius
             if near.any():
                 yield q[near], node[near], d[near]
             lo = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0))
-            hi = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), side="right")
-            size = hi - lo
-            total = int(size.sum())
-            if not total:
-                return
-            slot = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-            q, node = np.repeat(q, size), self.kids[slot]
-            ok = enter(q, node)
-            q, node = q[ok], node[ok]
+            size = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), side="right") - lo
+            some = np.flatnonzero(size)
+            q, lo, size = q[some], lo[some], size[some]
+            # In pieces of bounded size, depth first: in a dense shard every query meets nearly every row.
+            cuts = np.searchsorted(np.cumsum(size), np.arange(WALK_PAIRS, int(size.sum()) + WALK_PAIRS, WALK_PAIRS))
+            for a, b in zip([0, *(cuts + 1).tolist()], (cuts + 1).tolist(), strict=False):
+                n = size[a:b]
+                slot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[a:b], n)
+                q2, node2 = np.repeat(q[a:b], n), self.kids[slot]
+                ok = enter(q2, node2)
+                if ok.any():
+                    todo.append((q2[ok], node2[ok]))
 
     def components(self, radius: int) -> np.ndarray:
         """The first row of each row's component under links of ``radius`` inside its shard.
@@ -134,7 +140,8 @@ class Forest:
             for q, node, _ in self.walk(queries, radius, enter):
                 a, b = label[q], label[node]
                 if (differ := a != b).any():
-                    pairs.update(zip(a[differ].tolist(), b[differ].tolist(), strict=True))
+                    codes = np.unique(a[differ] * self.n + b[differ])
+                    pairs.update(zip((codes // self.n).tolist(), (codes % self.n).tolist(), strict=True))
             if pairs:
                 top: dict[int, int] = {}
 
@@ -168,25 +175,17 @@ class Forest:
         The radius grows until something is found, so that rows in dense groups
         stop at a small one.
         """
-        best = np.full(self.n, -1)
+        none = 65 * (self.n + 1)
+        best = np.full(self.n, none)  # distance * (n + 1) + row, so that the least is the nearest, then the first
         before = lambda q, c: c < q  # noqa: E731  a subtree's rows stand after its root
         open_rows = np.flatnonzero(self.root != np.arange(self.n))
         for radius in radii:
             for at in range(0, len(open_rows), 2048):
-                qs, nodes, ds = [], [], []
                 for q, node, d in self.walk(open_rows[at : at + 2048], radius, before):
                     ok = node < q
-                    qs.append(q[ok])
-                    nodes.append(node[ok])
-                    ds.append(d[ok])
-                if qs and len(q := np.concatenate(qs)):
-                    node, d = np.concatenate(nodes), np.concatenate(ds)
-                    order = np.lexsort((node, d, q))
-                    q, node = q[order], node[order]
-                    lead = np.concatenate([[True], q[1:] != q[:-1]])
-                    best[q[lead]] = node[lead]
-            open_rows = open_rows[best[open_rows] < 0]
-        return best
+                    np.minimum.at(best, q[ok], d[ok] * (self.n + 1) + node[ok])
+            open_rows = open_rows[best[open_rows] == none]
+        return np.where(best < none, best % (self.n + 1), -1)
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
