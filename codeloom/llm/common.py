@@ -32,16 +32,21 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+#: Rows of one file of a small table.
+FILE_ROWS = 100_000
+
+
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written once to the shared checkpoint folder; its lineage ends there.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
+    ``rows`` bounds how many rows ``df`` can have: a table that is cheap to
+    finish and small for its partitions is written in fewer files. The folder is the session's ``spark.checkpoint.dir``; a temporary one is
     set only where the session names none (tests).
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).checkpoint(eager=True)
 
 
 _SHIPPED: set[str] = set()
@@ -70,8 +75,8 @@ def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(work, schema)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of ``edges`` (a, b: long); component: its smallest node.
+def connected_components(edges: DataFrame, rows: int, max_rounds: int = 60) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b: long; at most ``rows`` of them); component: its smallest node.
 
     Alternating large-star and small-star rounds; each round's edges are
     checkpointed, none reach the driver. A node that stands alone in a self
@@ -92,13 +97,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return out.where("a <> b").distinct()
 
-    current = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    current = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), rows)
     sums = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = sums(current)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        current = checkpointed(star(star(current, False), True))
+        current = checkpointed(star(star(current, False), True), 2 * before[0])
         now = sums(current)
         if now == before:
             break

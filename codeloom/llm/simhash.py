@@ -270,9 +270,11 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = RADIUS) ->
     empty table gives an empty result.
     """
     fps = checkpointed(fingerprints(docs, width))
-    classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = checkpointed(linked_fingerprints(classes, classes.count(), radius).distinct())
-    label = connected_components(edges).select(F.col("node").alias("fp"), "component")
+    classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), fps.count())
+    n = classes.count()
+    masks = len(block_masks(n, radius))
+    edges = checkpointed(linked_fingerprints(classes, n, radius).distinct(), n * masks)
+    label = connected_components(edges, edges.count()).select(F.col("node").alias("fp"), "component")
     of = classes.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = of.join(least, "component").select("fp", "component_id")
@@ -358,16 +360,17 @@ def near_duplicate_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: fl
     ids are left out (the caller keeps such rows).
     """
     marks = checkpointed(_marks(docs.where(F.col("doc_id").isNotNull())))
-    classes = checkpointed(marks.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")))
-    leaders = checkpointed(classes.groupBy("fp").agg(F.min("id").alias("id")))
+    n = marks.count()
+    classes = checkpointed(marks.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), n)
+    leaders = checkpointed(classes.groupBy("fp").agg(F.min("id").alias("id")), n)
     same = classes.join(leaders.withColumnRenamed("id", "b"), "fp").where("id <> b").select(F.col("id").alias("a"), "b")
-    pairs = checkpointed(same.unionByName(_candidates(leaders, leaders.count())).where("a <> b").distinct())
+    pairs = checkpointed(same.unionByName(_candidates(leaders, leaders.count())).where("a <> b").distinct(), 2 * n)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
     # An id of several rows stands for the class that it leads; its other texts are compared as well.
-    links = checkpointed(_alike(pairs, _shingle_sets(texts, width), least).distinct())
+    links = checkpointed(_alike(pairs, _shingle_sets(texts, width), least).distinct(), pairs.count())
     members = marks.join(classes.select("h1", "h2", "id"), ["h1", "h2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    label = connected_components(links.unionByName(members.distinct()))
+    label = connected_components(links.unionByName(members.distinct()), links.count() + n)
     rows = marks.groupBy("doc_id").agg(F.count("*").alias("n_same"))
     return rows.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"), "n_same")
 
@@ -379,7 +382,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, least: flo
     repeat a doc_id one stays.
     """
     groups = near_duplicate_groups(docs, width, least)
-    keep = checkpointed(groups.where("doc_id = group_id").select(F.col("doc_id").alias("__id"), "n_same"))
+    keep = checkpointed(groups.where("doc_id = group_id").select(F.col("doc_id").alias("__id"), "n_same"), docs.count())
     kept = docs.join(keep.where("n_same = 1"), F.col("doc_id") == F.col("__id"), "left_semi")
     if repeated := keep.where("n_same > 1").count():
         again = docs.join(keep.where("n_same > 1"), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
