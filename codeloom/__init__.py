@@ -1,0 +1 @@
+"""Batch code-translation dataflows as Spark DataFrames."""
