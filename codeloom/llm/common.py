@@ -83,13 +83,15 @@ def connected_components(edges: DataFrame, rows: int, max_rounds: int = 60) -> D
     loop is its own component.
 
     A hub with many neighbours meets in one aggregation group only as a
-    running minimum; neighbours are attached by a join, not collected.
+    running minimum. The minima are written before they are joined to the
+    edges, so that both sides of the join are dealt anew and a hub's edges can
+    be split over tasks.
     """
-    def star(pairs: DataFrame, small: bool) -> DataFrame:
+    def star(pairs: DataFrame, small: bool, size: int) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if small:
             both = both.where("b < a")
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), 2 * size)
         linked = both.join(least, "a")
         if small:
             out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
@@ -103,7 +105,7 @@ def connected_components(edges: DataFrame, rows: int, max_rounds: int = 60) -> D
     for _ in range(max_rounds):
         if not before[0]:
             break
-        current = checkpointed(star(star(current, False), True), 2 * before[0])
+        current = checkpointed(star(checkpointed(star(current, False, before[0]), 2 * before[0]), True, 2 * before[0]), 2 * before[0])
         now = sums(current)
         if now == before:
             break

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import decontaminate, licenses, minhash, packing, quality, secret_scan, simhash, surrogates, tokens, urls
+from codeloom.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_fingerprints": minhash.op1_minhash_fingerprints,
@@ -20,5 +21,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_components": simhash.op9_simhash_components,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-
-ORACLE_SQL: dict[str, str] = {"op6_url_digests": urls.OP6_SQL}
