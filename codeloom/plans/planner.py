@@ -40,32 +40,30 @@ def grow_edges(requests: DataFrame, depth: int) -> DataFrame:
     return out.select("request_id", "level", F.element_at("languages", -2).alias("input_language"), F.element_at("languages", -1).alias("target_language"), "final_target", "ord_path", "languages", "reaches")
 
 
-def number_edges(edges: DataFrame) -> DataFrame:
+#: Depth that planning takes.
+MOST_LEVELS = 8
+
+
+def number_edges(edges: DataFrame, depth: int = MOST_LEVELS) -> DataFrame:
     """Edges with edge_id, 1, 2, ... in depth-first order over all that were created, and parent_edge_id, -1 at a root.
 
-    Arrays order a prefix first, so ordering by ord_path is depth-first order.
-    The parent is the last edge before this one that is one level up.
+    Arrays order a prefix first, so ordering by ord_path is depth-first order,
+    and the nearest earlier edge of the level above is the parent.
     """
     own = Window.partitionBy("request_id").orderBy("ord_path")
     numbered = edges.withColumn("edge_id", F.row_number().over(own))
-    # Inside a request's preorder the nearest earlier edge of the level above is the parent.
-    for level in range(1, MOST_LEVELS):
-        numbered = numbered.withColumn(f"__l{level}", F.last(F.when(F.col("level") == level, F.col("edge_id")), ignorenulls=True).over(own))
+    above = {level: F.last(F.when(F.col("level") == level, F.col("edge_id")), ignorenulls=True).over(own) for level in range(1, depth)}
     parent = F.lit(-1)
-    for level in range(1, MOST_LEVELS):
-        parent = F.when(F.col("level") == level + 1, F.col(f"__l{level}")).otherwise(parent)
-    return numbered.withColumn("parent_edge_id", parent).drop(*[f"__l{level}" for level in range(1, MOST_LEVELS)])
-
-
-#: Depth that numbering is prepared for.
-MOST_LEVELS = 8
+    for level, last in above.items():
+        parent = F.when(F.col("level") == level + 1, last).otherwise(parent)
+    return numbered.withColumn("parent_edge_id", parent)
 
 
 def plan_edges(requests: DataFrame, depth: int) -> DataFrame:
     """All numbered edges; depth is bounded by ``MOST_LEVELS``."""
     if not 1 <= depth <= MOST_LEVELS:
         raise ValueError(f"depth from 1 to {MOST_LEVELS}")
-    return number_edges(grow_edges(requests, depth))
+    return number_edges(grow_edges(requests, depth), depth)
 
 
 def plan_paths(edges: DataFrame) -> DataFrame:
