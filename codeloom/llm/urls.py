@@ -81,8 +81,9 @@ class DigestArray:
         name = os.path.join(tempfile.gettempdir(), f"codeloom-digests-{hashlib.sha256(data).hexdigest()[:16]}-{os.getpid()}.bin")
         if len(data):
             if not os.path.exists(name):
-                with open(name, "wb") as f:
+                with open(f"{name}.new", "wb") as f:
                     f.write(data)
+                os.replace(f"{name}.new", name)
             self.keys = np.memmap(name, np.uint64, "r")
         return self
 
