@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
+INFERENCE_VALUES = ("response", "inference_ok", "wall_ms")
+EXECUTION_VALUES = ("output", "exit_ok", "wall_ms")
+#: Value columns of the three caches.
+INFERENCE_CACHE = "response string, inference_ok boolean, wall_ms long"
+EXECUTION_CACHE = "output string, exit_ok boolean, wall_ms long"
+RESPONSE_CACHE = "response string"
+
+
 def latest(rows: DataFrame, key: str = "key", version: str = "version") -> DataFrame:
     """The last written row of each key; of rows of one version the one of the largest values.
 
@@ -93,3 +101,27 @@ def through_cache(work: DataFrame, cached: DataFrame | None, do, values: tuple[s
     if cached is not None:
         known = known.unionByName(cached.select(key, *values, F.lit(True).alias("cache_hit")))
     return work.join(known, key), fresh
+
+
+@dataclass
+class Stores:
+    """The caches of a run, any of them absent, and the version under which it writes."""
+
+    inference: ParquetCache | None = None
+    execution: ParquetCache | None = None
+    response: ParquetCache | None = None
+    version: int = 1
+
+    @classmethod
+    def under(cls, spark: SparkSession, path: str, version: int) -> "Stores":
+        """All three caches in one shared folder."""
+        return cls(*(ParquetCache(spark, f"{path}/{n}", s) for n, s in (("inference", INFERENCE_CACHE), ("execution", EXECUTION_CACHE), ("response", RESPONSE_CACHE))), version)
+
+    def known(self, store: ParquetCache | None, use: bool) -> DataFrame | None:
+        """A cache's rows if there is one and it is to be read."""
+        return store.read() if store is not None and use else None
+
+    def keep(self, store: ParquetCache | None, rows: DataFrame) -> None:
+        """Write rows, one for each key; caches are written whether or not they are read."""
+        if store is not None:
+            store.upsert(rows.dropDuplicates(["key"]), self.version)

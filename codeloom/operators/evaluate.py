@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codeloom.config import ConfigError, EngineConfig
 from codeloom.functions.chat import request_body
 from codeloom.functions.text import extract_code, inference_key, lookup, render_prompt
-from codeloom.operators.cache import through_cache
+from codeloom.operators.cache import EXECUTION_VALUES, INFERENCE_VALUES, Stores, through_cache
 from codeloom.operators.testing import EDGE_KEY, checked_suites, execute, fold_tests, fuzzy_runs, tested_status, unit_runs, with_programs, with_verdicts
 from codeloom.plans.planner import plan_edges, plan_path_edges
 from codeloom.runtime import checkpointed
@@ -38,19 +38,19 @@ def with_prompts(edges: DataFrame, config: EngineConfig, extra: bool = False) ->
     return edges.withColumn("prompt", prompt)
 
 
-def infer(edges: DataFrame, provider, config: EngineConfig, cached: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Edges with response, inference_ok, wall_ms and cache_hit, and the rows for the cache."""
+def infer(edges: DataFrame, provider, config: EngineConfig, cached: DataFrame | None = None) -> DataFrame:
+    """Edges with response, inference_ok, wall_ms, cache_hit and call_key (null for providers that do not answer by key)."""
     calls = edges.withColumn("model", F.col("model_name"))
     if not provider.keyed:
-        return provider.infer(calls).withColumn("cache_hit", F.lit(False)), None
+        return provider.infer(calls).withColumns({"cache_hit": F.lit(False), "call_key": F.lit(None).cast("string")})
     keyed = calls.withColumn("body", request_body(F.col("model"), F.col("prompt"), config))
     keyed = keyed.withColumn("key", inference_key(F.col("model"), F.col("prompt"), config.max_tokens, config.temperature, config.top_p, config.top_k, config.seed))
     if "attempt" in edges.columns:  # attempts are independent calls
         keyed = keyed.withColumn("key", F.concat_ws(":", "key", "request_id", F.col("attempt").cast("string")))
     slim = keyed.select("key", "model", "prompt", "body")
-    answers, fresh = through_cache(slim, cached, provider.infer, ("response", "inference_ok", "wall_ms"))
-    answers = answers.select("key", "response", "inference_ok", "wall_ms", "cache_hit").dropDuplicates(["key"])
-    return keyed.drop("body").join(answers, "key").drop("key"), fresh
+    answers, _ = through_cache(slim, cached, provider.infer, INFERENCE_VALUES)
+    answers = answers.select("key", *INFERENCE_VALUES, "cache_hit").dropDuplicates(["key"])
+    return keyed.drop("body").join(answers, "key").withColumnRenamed("key", "call_key")
 
 
 def extract(edges: DataFrame, config: EngineConfig) -> DataFrame:
@@ -68,16 +68,17 @@ def extract(edges: DataFrame, config: EngineConfig) -> DataFrame:
     return edges.withColumn("extracted", ok.otherwise(missing.cast("boolean"))).withColumn("code", code.otherwise(missing.cast("string")))
 
 
-def attempt(edges: DataFrame, inference, execution, config: EngineConfig, caches: dict | None = None, extra: bool = False, unit_by_language: bool = True) -> DataFrame:
+def attempt(edges: DataFrame, inference, execution, config: EngineConfig, stores: Stores | None = None, extra: bool = False, unit_by_language: bool = True) -> DataFrame:
     """Live edges carried through all steps to a status.
 
     ``edges`` has the tree's columns, source_code and the request's parts.
     Tests run only where the final target is reached, unless intermediate
-    translations are verified as well.
+    translations are verified as well. ``stores`` answer what they know and
+    keep what is new.
     """
-    caches = caches or {}
+    stores = stores or Stores()
     prompted = with_prompts(edges, config, extra)
-    answered, _ = infer(prompted, inference, config, caches.get("inference"))
+    answered = infer(prompted, inference, config, stores.known(stores.inference, config.use_inference_cache))
     got = extract(answered, config).withColumnRenamed("wall_ms", "wall_inference_ms")
     at_target = F.col("target_language") == F.col("final_target")
     early = (
@@ -88,7 +89,9 @@ def attempt(edges: DataFrame, inference, execution, config: EngineConfig, caches
     got = got.withColumn("early", early).withColumn("code", F.when(F.col("inference_ok"), F.col("code")).otherwise(""))
     if inference.keyed:
         got = checkpointed(got)
-    tested = test_edges(got.where("early is null"), execution, config, caches, unit_by_language)
+        fresh = got.where(~F.col("cache_hit")).select(F.col("call_key").alias("key"), "response", "inference_ok", F.col("wall_inference_ms").alias("wall_ms"))
+        stores.keep(stores.inference, fresh if config.cache_failures else fresh.where("inference_ok"))
+    tested = test_edges(got.where("early is null"), execution, config, stores, unit_by_language)
     out = got.join(tested, list(EDGE_KEY), "left")
     status = F.coalesce("early", tested_status(F.col("all_passed"), F.col("first_event"), at_target))
     none = lambda name, kind: F.coalesce(name, F.expr(f"cast(array() as array<{kind}>)")).alias(name)
@@ -108,10 +111,14 @@ def attempt(edges: DataFrame, inference, execution, config: EngineConfig, caches
     )
 
 
-def test_edges(edges: DataFrame, execution, config: EngineConfig, caches: dict | None = None, unit_by_language: bool = True) -> DataFrame:
+def test_edges(edges: DataFrame, execution, config: EngineConfig, stores: Stores | None = None, unit_by_language: bool = True) -> DataFrame:
     """Edges (with code and test_suite) folded over their tests."""
     runs = fuzzy_runs(edges).unionByName(unit_runs(edges, unit_by_language))
-    done, _ = execute(with_programs(runs, config, go=execution.keyed), execution, (caches or {}).get("execution"))
+    stores = stores or Stores()
+    done = execute(with_programs(runs, config, go=execution.keyed), execution, stores.known(stores.execution, config.use_execution_cache))
+    if execution.keyed:
+        done = checkpointed(done)
+        stores.keep(stores.execution, done.where(~F.col("cache_hit")).select("key", *EXECUTION_VALUES))
     return fold_tests(with_verdicts(done, config.transcoder_format))
 
 
@@ -124,7 +131,7 @@ def _skipped(edges: DataFrame, status: Column | str) -> DataFrame:
     return edges.withColumns({"status": s, **text, **empty, **numbers}).select(*RESULT)
 
 
-def evaluate_tree(requests: DataFrame, edges: DataFrame, inference, execution, config: EngineConfig, caches: dict | None = None) -> DataFrame:
+def evaluate_tree(requests: DataFrame, edges: DataFrame, inference, execution, config: EngineConfig, stores: Stores | None = None) -> DataFrame:
     """The result of every edge that can reach its request's target.
 
     Each level is written once before the next reads it: providers run once,
@@ -134,7 +141,7 @@ def evaluate_tree(requests: DataFrame, edges: DataFrame, inference, execution, c
     parts = requests.select(F.col("id").alias("request_id"), *REQUEST_PARTS)
 
     def tried(live: DataFrame) -> DataFrame:
-        return checkpointed(attempt(live, inference, execution, config, caches))
+        return checkpointed(attempt(live, inference, execution, config, stores))
 
     seeded = edges.where("level = 1").join(parts, "request_id").withColumn("source_code", F.col("seed_code"))
     results: list[DataFrame] = []
@@ -186,7 +193,7 @@ def mask_after_found(edges: DataFrame, order: str, descending: bool = False) ->
     return out.drop("__late")
 
 
-def translate(requests: DataFrame, inference, execution, config: EngineConfig, caches: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def translate(requests: DataFrame, inference, execution, config: EngineConfig, stores: Stores | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges, path_edges): every evaluated edge, and the edges of every path in order.
 
     The tree-of-translations entry point. An edge is memoized on a path if an
@@ -194,21 +201,21 @@ def translate(requests: DataFrame, inference, execution, config: EngineConfig, c
     """
     requests = checked_suites(requests, config.verify_intermediates)
     planned = checkpointed(plan_edges(requests, config.depth))
-    edges = evaluate_tree(requests, planned, inference, execution, config, caches)
+    edges = evaluate_tree(requests, planned, inference, execution, config, stores)
     steps = plan_path_edges(planned)
     halted = edges.where(F.col("status") == SKIPPED_FOUND).select("request_id", "edge_id", F.lit(True).alias("halted"))
     steps = steps.join(halted, list(EDGE_KEY), "left").withColumn("memoized", F.col("memoized") | F.coalesce("halted", F.lit(False))).drop("halted")
     return edges, steps
 
 
-def attempts(requests: DataFrame, inference, execution, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
+def attempts(requests: DataFrame, inference, execution, config: EngineConfig, stores: Stores | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges, path_edges) of independent direct attempts, one path each; the attempt with the largest edge_id comes first."""
     config.check_attempts()
     requests = checked_suites(requests)
     parts = requests.select(F.col("id").alias("request_id"), "seed_language", "target_language", *REQUEST_PARTS)
     rows = parts.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(config.attempts))))
     rows = rows.withColumns({"edge_id": F.col("attempt"), "parent_edge_id": F.lit(-1), "level": F.lit(1), "input_language": F.col("seed_language"), "final_target": F.col("target_language"), "source_code": F.col("seed_code")})
-    done = attempt(rows, inference, execution, config, extra=True)
+    done = attempt(rows, inference, execution, config, stores, extra=True)
     if inference.keyed or execution.keyed:
         done = checkpointed(done)
     if config.early_stop != "never":
@@ -217,7 +224,7 @@ def attempts(requests: DataFrame, inference, execution, config: EngineConfig) ->
     return done, steps
 
 
-def verify(requests: DataFrame, execution, config: EngineConfig) -> DataFrame:
+def verify(requests: DataFrame, execution, config: EngineConfig, stores: Stores | None = None) -> DataFrame:
     """(id, status, fuzzy_tests, unit_tests, extracted_source_code) of given inference outputs.
 
     Unit tests of all languages run, as they are the caller's own; success is
@@ -227,7 +234,7 @@ def verify(requests: DataFrame, execution, config: EngineConfig) -> DataFrame:
     rows = checked_suites(requests.withColumn("used_languages", F.array("targetLanguage")))
     ok, code = extract_code(F.col("inferenceOutput"), config.regex(config.verification_template))
     edges = rows.select(F.col("id").alias("request_id"), F.lit(1).alias("edge_id"), F.col("targetLanguage").alias("target_language"), "test_suite", ok.alias("extracted"), code.alias("code"))
-    tested = test_edges(edges.where("extracted"), execution, config, unit_by_language=False)
+    tested = test_edges(edges.where("extracted"), execution, config, stores, unit_by_language=False)
     out = edges.join(tested, list(EDGE_KEY), "left")
     status = F.when(~F.col("extracted"), NO_EXTRACTED).otherwise(tested_status(F.col("all_passed"), F.col("first_event"), F.lit(True)))
     empty = lambda name, kind: F.coalesce(name, F.expr(f"cast(array() as array<{kind}>)")).alias(name)

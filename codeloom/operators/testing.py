@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.config import EngineConfig
 from codeloom.functions.code import RUN, TEST, normalise, test_program
 from codeloom.functions.text import count_verdict, execution_key, trim_ws
-from codeloom.operators.cache import through_cache
+from codeloom.operators.cache import EXECUTION_VALUES, through_cache
 from codeloom.schemas import FAILED, FAILED_EXECUTION, FAILED_TIMEOUT, FAILED_VERIFICATION, FOUND, INVALID_UTF8, SUCCESS, TIMEOUT_MARK
 
 #: Columns that name an edge.
@@ -56,16 +56,15 @@ def with_programs(runs: DataFrame, config: EngineConfig, go: bool = True) -> Dat
     return runs.withColumn("executed_code", normalise(F.col("source_code"), F.col("language"), F.col("kind"), go)).drop("code")
 
 
-def execute(runs: DataFrame, provider, cached: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Runs with output, exit_ok, wall_ms and cache_hit, and the rows for the cache.
+def execute(runs: DataFrame, provider, cached: DataFrame | None = None) -> DataFrame:
+    """Runs with output, exit_ok, wall_ms, cache_hit and key (null for providers that do not answer by key).
 
     Providers that answer by key run each distinct program and input once.
     """
     if not provider.keyed:
-        return provider.execute(runs).withColumn("cache_hit", F.lit(False)), None
+        return provider.execute(runs).withColumns({"cache_hit": F.lit(False), "key": F.lit(None).cast("string")})
     keyed = runs.withColumn("key", execution_key(F.col("source_code"), F.col("language"), F.col("stdin"), F.col("executed_code"), F.col("kind")))
-    done, fresh = through_cache(keyed, cached, provider.execute, ("output", "exit_ok", "wall_ms"))
-    return done.drop("key"), fresh
+    return through_cache(keyed, cached, provider.execute, EXECUTION_VALUES)[0]
 
 
 def with_verdicts(done: DataFrame, transcoder: bool = False) -> DataFrame:

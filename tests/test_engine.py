@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from codeloom import catalogue
 from codeloom.config import ConfigError, EngineConfig
-from codeloom.operators import cache, evaluate, flatten, metrics, testing
+from codeloom.operators import cache, evaluate, flatten, metrics, service, testing
 from codeloom.plans import planner
 from codeloom.schemas import DEAD
 from codeloom.sources import io, providers
@@ -264,3 +264,35 @@ def test_keyed_inference_runs_once(spark):
 
 def test_flagship(spark):
     assert catalogue.entry(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_caches_answer_and_keep(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    class Logged:
+        keyed = True
+
+        def infer(self, calls_):
+            calls_.select("key").write.mode("append").parquet(calls)
+            return calls_.withColumns({"response": F.lit("```print(input())```"), "inference_ok": F.lit(True), "wall_ms": F.lit(5).cast("long")})
+
+    asked = lambda: spark.read.parquet(calls).count()
+    rows = io.requests_from_rows(spark, [request("1", fuzzy=[("a", "a")]), request("2", fuzzy=[("b", "b")])])
+    config = CONFIG.with_(depth=1, use_inference_cache=True)
+    stores = cache.Stores.under(spark, str(tmp_path / "s"), 1)
+    first = service.respond(rows, Logged(), providers.SubprocessExecution(), config, stores).collect()
+    assert [r["paths"][0]["translation_edges"][0]["status"] for r in first] == ["TRANSLATION_FOUND"] * 2
+    assert asked() == 1 and stores.inference.read().count() == 1 and stores.execution.read().count() == 2
+    assert stores.response.read().count() == 0
+    again = service.respond(rows, Logged(), providers.SubprocessExecution(), config.with_(use_response_cache=True), stores).collect()
+    assert asked() == 1 and again[0]["paths"][0]["translation_edges"][0]["usedInferenceCache"]
+    more = io.requests_from_rows(spark, [request("1", fuzzy=[("a", "a")]), request("3", fuzzy=[("c", "x")])])
+    third = service.respond(more, Logged(), providers.SubprocessExecution(), config.with_(use_response_cache=True), stores).collect()
+    assert [(r["translation_request"]["id"], r["paths"][0]["translation_edges"][0]["status"]) for r in third] == [("1", "TRANSLATION_FOUND"), ("3", "FAILED_VERIFICATION")]
+    assert stores.response.read().count() == 3
+
+
+def test_independent_responses(spark):
+    infer = providers.ExpressionInference(F.lit("```x```"))
+    got = service.respond(io.requests_from_rows(spark, [request()]), infer, providers.ExpressionExecution(F.lit("no")), CONFIG.with_(depth=1), independent=True).first()
+    assert len(got["paths"]) == 10
