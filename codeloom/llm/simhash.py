@@ -284,8 +284,10 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = RADIUS) ->
 # Near-duplicate documents by likeness of their shingle sets.
 
 SHINGLE_WORDS, LIKENESS = 5, 0.8
-#: Candidates are fingerprints of word pairs within this many bits; at a likeness of 0.8 (five words) six differ on average.
+#: First candidates are fingerprints of word pairs within this many bits; what they leave apart is met by shared shingles.
 CANDIDATE_RADII = (2, 4, 8, 13)
+#: Documents at least, and the largest share, whose shingles are counted to order prefixes, and shingles ranked; no result depends on them.
+SAMPLE_DOCS, SAMPLE_SHARE, RANKED = 2000, 256, 100_000
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -326,10 +328,14 @@ def _candidates(leaders: DataFrame, n: int) -> DataFrame:
     return in_batches(_dealt(leaders, sample_masks(n), "id").select("key", "id", "fp"), work, "a long, b long").distinct()
 
 
+def _shingle_set(data: bytes, width: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words_of(data), width)]))
+
+
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words_of(x), width)])).tobytes() for x in b.column("data").to_pylist()]
+            sets = [_shingle_set(x, width).tobytes() for x in b.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     return in_batches(docs.select("id", text_or_empty().cast("binary").alias("data")), work, "id long, shingles binary")
@@ -349,13 +355,112 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return in_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), work, "a long, b long")
 
 
+def _common_shingles(docs: DataFrame, n: int, width: int) -> np.ndarray:
+    """Hashes of the shingles that most of a sample of ``docs`` hold, the most common last."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("data").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(x, width).view(np.int64))], ["h"])
+
+    share = max(1, min(n // SAMPLE_DOCS, SAMPLE_SHARE))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select(text_or_empty().cast("binary").alias("data"))
+    counts = in_batches(some, work, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "h").limit(RANKED).collect()
+    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def _prefixes(docs: DataFrame, common: np.ndarray, width: int, least: float) -> DataFrame:
+    """(id, size, keys): the first shingles of each text's set, rarest first.
+
+    Sets of a likeness of ``least`` or more share one of these: all but
+    ceil(least * size) - 1 shingles, in one order for all texts. Keys are the
+    upper 40 bits; texts without words have none.
+    """
+    by_hash = np.argsort(common)
+    known = common[by_hash]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, keys = [], []
+            for x in b.column("data").to_pylist():
+                h = _shingle_set(x, width)
+                if len(known) and len(h):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, by_hash[at] + 1, 0), kind="stable")]
+                size.append(len(h))
+                # The subtrahend keeps a product just above a whole number from taking the next one.
+                keys.append((h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1] >> np.uint64(24)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["id", "size", "keys"])
+
+    rows = docs.select(F.col("doc_id").alias("id"), text_or_empty().cast("binary").alias("data"))
+    return in_batches(rows, work, "id long, size int, keys array<long>")
+
+
+def _sharing(prefixes: DataFrame, least: float) -> DataFrame:
+    """(a, b): texts of ``prefixes`` (id, of, size, keys) that share a key, differ in ``of`` and can reach ``least`` by their sizes and the key's places.
+
+    Rows are sorted by key and ``of``, and a row meets only those of its key
+    after its own ``of``: a large group costs nothing within itself.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, of, ids, size, at in _by_shard(batches, ("key", "of", "id", "size", "at")):
+            n = len(key)
+            new_key = key[1:] != key[:-1]
+            ends = lambda new, n=n: np.append(np.flatnonzero(new) + 1, n)[np.concatenate([[0], np.cumsum(new)])]
+            first = ends(new_key | (of[1:] != of[:-1]))
+            count = ends(new_key) - first
+            rows = np.flatnonzero(count)
+            total = np.cumsum(count[rows])
+            cuts = np.unique(np.searchsorted(total, np.arange(0, int(total[-1]) if len(total) else 0, WALK_PAIRS)[1:])).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+                r = rows[lo:hi]
+                c = count[r]
+                x = np.repeat(r, c)
+                y = np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[r], c)
+                both = np.minimum(size[x] - at[x], size[y] - at[y])
+                ok = both * (1 + least) >= least * (size[x] + size[y]) - 1e-6
+                if not ok.any():
+                    continue
+                pair = np.unique(np.stack([np.maximum(ids[x[ok]], ids[y[ok]]), np.minimum(ids[x[ok]], ids[y[ok]])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+    rows = prefixes.select("id", "of", "size", F.posexplode("keys").alias("at", "key"))
+    dealt = rows.repartition("key").sortWithinPartitions("key", "of").select("key", "of", "id", "size", "at")
+    return in_batches(dealt, work, "a long, b long").distinct()
+
+
+def _joined(docs: DataFrame, ids: DataFrame, n: int, label: DataFrame, width: int, least: float) -> DataFrame:
+    """``label`` (node, component) with the components linked that hold alike texts of ``ids`` (id); no such pair is left out.
+
+    Only texts of different components are compared.
+    """
+    of = ids.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("of"))
+    prefixes = _prefixes(docs, _common_shingles(docs, n, width), width, least).join(of, "id")
+    pairs = checkpointed(_sharing(prefixes, least))
+    found = pairs.count()
+    if not found:
+        return label
+    both = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(both, "id", "left_semi")
+    links = _alike(pairs, _shingle_sets(texts, width), least).distinct()
+    links = links.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
+    links = checkpointed(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), found)
+    merged = connected_components(links, max(1, links.count())).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    # A component's smallest node is a node of ``label`` only if it has links of its own.
+    alone = merged.select(F.col("component").alias("node")).join(label.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    return label.unionByName(alone).join(merged, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+
+
 def near_duplicate_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: float = LIKENESS) -> DataFrame:
     """(doc_id, group_id, n_same) of each distinct doc_id: group_id is the smallest id of its group.
 
     Documents with the same words are one class. Classes link if their sets of
-    ``width``-word shingles have a likeness of ``least`` or more; candidates
-    come from the BK-trees of shards of SimHash fingerprints, and every
-    candidate is checked against the whole sets. Null and empty texts are one
+    ``width``-word shingles have a likeness of ``least`` or more; first
+    candidates come from the BK-trees of shards of SimHash fingerprints, and
+    the groups that these make are joined by an exact search for shared
+    shingles. Every candidate is checked against the whole sets. Null and empty texts are one
     class. Rows that repeat a doc_id count as one document (n_same rows); null
     ids are left out (the caller keeps such rows).
     """
@@ -370,7 +475,8 @@ def near_duplicate_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: fl
     # An id of several rows stands for the class that it leads; its other texts are compared as well.
     links = checkpointed(_alike(pairs, _shingle_sets(texts, width), least).distinct(), pairs.count())
     members = marks.join(classes.select("h1", "h2", "id"), ["h1", "h2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    label = connected_components(links.unionByName(members.distinct()), links.count() + n)
+    label = checkpointed(connected_components(links.unionByName(members.distinct()), links.count() + n), 2 * n)
+    label = _joined(docs.where(F.col("doc_id").isNotNull()), leaders.select("id").distinct(), n, label, width, least)
     rows = marks.groupBy("doc_id").agg(F.count("*").alias("n_same"))
     return rows.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"), "n_same")
 

@@ -205,6 +205,21 @@ def test_large_group_of_near_copies(spark):
     assert kept == [0, *range(1000, 1050)]
 
 
+def test_appended_and_cut_copies_come_together(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(150):
+        n = int(rng.integers(120, 260))
+        w = [f"n{x}" for x in rng.integers(0, 3000, n)]
+        more = [f"n{x}" for x in rng.integers(0, 3000, int(0.23 * (n - 4)))]
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(w + more)), (10 * i + 2, " ".join(w[: n - int(0.19 * (n - 4))]))]
+    sets = {i: shingles(t) for i, t in rows}
+    for i in range(0, 1500, 10):
+        assert jaccard(sets[i], sets[i + 1]) >= 0.8 and jaccard(sets[i], sets[i + 2]) >= 0.8
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
 def test_connected_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 99)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges, 41).collect()}
