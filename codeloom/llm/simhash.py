@@ -431,6 +431,33 @@ def _sharing(prefixes: DataFrame, least: float) -> DataFrame:
     return in_batches(dealt, work, "a long, b long").distinct()
 
 
+def _parities(docs: DataFrame, width: int) -> DataFrame:
+    """(id, size, bits): 2048 bits of each text's set, each the parity of the shingles that fall on it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, bits = [], []
+            for x in b.column("data").to_pylist():
+                h = _shingle_set(x, width)
+                odd = np.bincount((h & np.uint64(2047)).astype(np.int64), minlength=2048) & 1
+                size.append(len(h))
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], ["id", "size", "bits"])
+
+    return in_batches(docs.select(F.col("doc_id").alias("id"), text_or_empty().cast("binary").alias("data")), work, "id long, size int, bits array<long>")
+
+
+def _can_be_alike(pairs: DataFrame, parities: DataFrame, least: float) -> DataFrame:
+    """``pairs`` without those whose parities alone show that too many shingles are in one set only.
+
+    Two sets differ in at least as many shingles as their parities differ in
+    bits, so that no pair of a likeness of ``least`` or more goes.
+    """
+    both = pairs.join(parities.toDF("a", "m", "x"), "a").join(parities.toDF("b", "n", "y"), "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda acc, k: acc + k)
+    return both.where(differ <= (F.col("m") + F.col("n")) * ((1 - least) / (1 + least)) + 1e-6).select("a", "b").distinct()
+
+
 def _joined(docs: DataFrame, ids: DataFrame, n: int, label: DataFrame, width: int, least: float) -> DataFrame:
     """``label`` (node, component) with the components linked that hold alike texts of ``ids`` (id); no such pair is left out.
 
@@ -438,7 +465,9 @@ def _joined(docs: DataFrame, ids: DataFrame, n: int, label: DataFrame, width: in
     """
     of = ids.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("of"))
     prefixes = _prefixes(docs, _common_shingles(docs, n, width), width, least).join(of, "id")
-    pairs = checkpointed(_sharing(prefixes, least))
+    shared = checkpointed(_sharing(prefixes, least))
+    some = shared.select(F.col("a").alias("id")).unionByName(shared.select(F.col("b").alias("id"))).distinct()
+    pairs = checkpointed(_can_be_alike(shared, _parities(docs, width).join(some, "id", "left_semi"), least))
     found = pairs.count()
     if not found:
         return label
@@ -476,7 +505,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: fl
     links = checkpointed(_alike(pairs, _shingle_sets(texts, width), least).distinct(), pairs.count())
     members = marks.join(classes.select("h1", "h2", "id"), ["h1", "h2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     label = checkpointed(connected_components(links.unionByName(members.distinct()), links.count() + n), 2 * n)
-    label = _joined(docs.where(F.col("doc_id").isNotNull()), leaders.select("id").distinct(), n, label, width, least)
+    label = _joined(docs.where(F.col("doc_id").isNotNull()), classes.select("id").distinct(), n, label, width, least)
     rows = marks.groupBy("doc_id").agg(F.count("*").alias("n_same"))
     return rows.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"), "n_same")
 

@@ -220,6 +220,19 @@ def test_appended_and_cut_copies_come_together(spark):
     assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
+def test_classes_unlike_the_leader_of_their_fingerprint(spark):
+    line = [f"line{k}" for k in range(13)] * 400
+    own = [[f"own{i}x{k}" for k in range(60)] for i in range(3)]
+    texts = {1: line + own[0], 2: line + own[1], 3: line + own[1][:-1], 4: line + own[2], 5: own[2] + line}
+    rows = [(i, " ".join(w)) for i, w in texts.items()]
+    fp = {simhash.fingerprint(simhash.words_of(t.encode()), 2) for _, t in rows}
+    assert len(fp) == 1
+    sets = {i: shingles(t) for i, t in rows}
+    assert jaccard(sets[2], sets[3]) >= 0.8 and jaccard(sets[4], sets[5]) >= 0.8 and jaccard(sets[1], sets[2]) < 0.8
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
 def test_connected_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 99)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges, 41).collect()}
