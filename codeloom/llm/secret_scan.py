@@ -33,14 +33,14 @@ RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, base=True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, ("AKIA",), base=True),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16, base=True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?", 0, 1, ("PRIVATE KEY-----",)),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----\s*(?:[A-Za-z][A-Za-z0-9-]*:[^\r\n-]*(?:--?[^\r\n-]+){0,20}[\r\n]*){0,20}[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----)?", 0, 1, ("PRIVATE KEY-----", "PRIVATE KEY BLOCK-----")),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]+|github_pat_[A-Za-z0-9_]+|glpat-[A-Za-z0-9_-]+", 0, 24, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-")),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", 0, 30, ("eyJ",)),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]+", 0, 39, ("AIza",)),
     Rule("payment_key", r"[sr]k_live_[A-Za-z0-9]+", 0, 24, ("k_live_",)),
 )
-VERSION = "1"
+VERSION = "1.1"
 MASK = "[secret]"
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from codeloom.llm import decontaminate, licenses, packing, quality, secret_scan, surrogates, tokens
+from codeloom.llm.oracles import secret_sql
 
 SMALL = "/root/testdata/sf0.001"
 KIND = "doc_id long, text string"
@@ -300,6 +302,26 @@ def test_masking(spark):
     assert secret_scan.mask_secrets(df.limit(0)).count() == 0
 
 
+def test_keys_with_headers_and_blocks(spark):
+    body = "\n".join("MIIEpQ+/" * 8 for _ in range(4))
+    keys = [
+        f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D\n\n{body}\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN RSA PRIVATE KEY-----\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,0A1B2C3D\r\n\r\n{body}\r\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2 -- test\nComment: a-b-c\n\n{body}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----",
+        f"-----BEGIN PGP PRIVATE KEY BLOCK-----\n\n{body}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----",
+        f"-----BEGIN RSA PRIVATE KEY----- Proc-Type: 4,ENCRYPTED {body.split()[0]} -----END RSA PRIVATE KEY-----",
+    ]
+    rows = spark.createDataFrame([(k, f"before {x} after: stays - here") for k, x in enumerate(keys)], KIND)
+    got = {r["doc_id"]: r["text"] for r in secret_scan.mask_secrets(rows).collect()}
+    assert got == {k: "before [secret] after: stays - here" for k in range(len(keys))}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [tuple(r) for r in rows.collect()])
+    want = {r[0]: r[-1] for r in con.execute(secret_sql()).fetchall()}
+    assert {r["doc_id"]: r["spans"] for r in secret_scan.scan_documents(rows).collect()} == want
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10
