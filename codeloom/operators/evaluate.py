@@ -38,7 +38,7 @@ def with_prompts(edges: DataFrame, config: EngineConfig, extra: bool = False) ->
     return edges.withColumn("prompt", prompt)
 
 
-def infer(edges: DataFrame, provider, config: EngineConfig, cached: DataFrame | None = None) -> DataFrame:
+def infer(edges: DataFrame, provider, config: EngineConfig, cached=None) -> DataFrame:
     """Edges with response, inference_ok, wall_ms, cache_hit and call_key (null for providers that do not answer by key)."""
     calls = edges.withColumn("model", F.col("model_name"))
     if not provider.keyed:

@@ -56,7 +56,7 @@ def with_programs(runs: DataFrame, config: EngineConfig, go: bool = True) -> Dat
     return runs.withColumn("executed_code", normalise(F.col("source_code"), F.col("language"), F.col("kind"), go)).drop("code")
 
 
-def execute(runs: DataFrame, provider, cached: DataFrame | None = None) -> DataFrame:
+def execute(runs: DataFrame, provider, cached=None) -> DataFrame:
     """Runs with output, exit_ok, wall_ms, cache_hit and key (null for providers that do not answer by key).
 
     Providers that answer by key run each distinct program and input once.

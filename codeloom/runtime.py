@@ -1,19 +1,78 @@
-"""Writing intermediate results where all executors can read them."""
+"""Writing intermediate results where all executors can read them, and steps on the shared file system."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder; its lineage ends there.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    set only where the session names none (tests).
+    The folder is the session's ``spark.checkpoint.dir``. On a cluster one has
+    to be set; a temporary one serves local sessions alone (tests).
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+class SharedFolder:
+    """Files under a path of any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm = spark.sparkContext._jvm
+        self.path = path.rstrip("/")
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self._at("").getFileSystem(conf)
+        self.names = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), conf)
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._at(name))
+
+    def glob(self, pattern: str) -> list[str]:
+        """Names below the folder that fit ``pattern``, sorted."""
+        found = self.fs.globStatus(self._at(pattern)) or []
+        root = self.fs.makeQualified(self._at("")).toUri().getPath().rstrip("/") + "/"
+        return sorted(f.getPath().toUri().getPath().removeprefix(root) for f in found)
+
+    def read(self, name: str) -> str | None:
+        """The text of a small file; None if there is none."""
+        if not self.exists(name):
+            return None
+        stream = self.fs.open(self._at(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """A small file as a whole: it is written beside its place and renamed over what is there."""
+        fresh = f"{name}.new"
+        stream = self.fs.create(self._at(fresh), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        option = self.jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.jvm.java.lang.reflect.Array.newInstance(option.OVERWRITE.getClass(), 1)
+        options[0] = option.OVERWRITE
+        self.names.rename(self._at(fresh), self._at(name), options)
+
+    def move(self, old: str, new: str) -> None:
+        """A folder put in place of another, if there is one."""
+        self.delete(new)
+        self.fs.mkdirs(self._at(new).getParent())
+        if not self.fs.rename(self._at(old), self._at(new)):
+            raise OSError(f"cannot move {self.path}/{old} to {new}")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._at(name), True)

@@ -1,4 +1,8 @@
+import dataclasses
+import json
 import random
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,13 +157,76 @@ def test_quickstart_with_real_programs(spark):
     assert row["status"] == "TRANSLATION_FOUND" and [t["actual_output"] for t in row["fuzzy_tests"]] == ["ABC", "ARC", "AGC"]
 
 
-def test_runner_failures():
-    run = providers.SubprocessExecution(timeout=1)._run
-    assert run("import time; time.sleep(9)", "Python", "")[:2] == ("CMD_TIMEOUT_KILLED", False)
-    assert run("import sys; sys.exit(3)", "Python", "")[0].startswith("(Exit code: 3)")
-    assert run("import sys; sys.stdout.buffer.write(b'\\xff')", "Python", "")[0] == "FAIL_INVALID_UTF8_STRING"
-    assert run("x", "Cobol", "")[1] is False
-    assert providers.HttpInference(("http://127.0.0.1:9",), retries=0)._ask("{}", 0)[:2] == (providers.FAILED_CALL, False)
+def run_programs(spark, run, *programs):
+    rows = [(k, x, "Python", "", "RUN") for k, x in enumerate(programs)]
+    got = run.execute(spark.createDataFrame(rows, "k int, executed_code string, language string, stdin string, kind string"))
+    return [(r["output"], r["exit_ok"]) for r in got.orderBy("k").collect()]
+
+
+def test_runner_failures(spark):
+    run = providers.SubprocessExecution(timeout=2)
+    got = run_programs(spark, run, "import time; time.sleep(9)", "import sys; sys.exit(3)", "import sys; sys.stdout.buffer.write(b'\\xff')", "print('x' * (1 << 21))", "while True: print('y' * 1000)", "print('ok')")
+    assert got[0] == ("CMD_TIMEOUT_KILLED", False) and got[2] == ("FAIL_INVALID_UTF8_STRING", False) and got[5] == ("ok\n", True)
+    assert got[1][0].startswith("(Exit code: 3)") and not got[3][1] and not got[4][1]
+    assert run._run("x", "Cobol", "")[2] == 127
+    assert providers.SubprocessExecution(memory_mb=200)._run("x = 'a' * (1 << 30)", "Python", "")[2] != 0
+    late = providers.SubprocessExecution(settle=0.5)._run("print('name?', flush=True)\nprint(input())", "Python", "Ann")
+    assert late[0] == b"Ann\n"
+
+
+@pytest.fixture
+def server():
+    """(url, calls): a chat server that answers by the prompt: a number is a status, a word comes back."""
+    calls = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            said = body["messages"][0]["content"]
+            calls.append((self.path, said, self.headers["Authorization"]))
+            self.send_response(int(said) if said.isdigit() else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": f"you said {said}"}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    with ThreadingHTTPServer(("127.0.0.1", 0), Handler) as s:
+        threading.Thread(target=s.serve_forever, daemon=True).start()
+        yield f"http://127.0.0.1:{s.server_port}", calls
+        s.shutdown()
+
+
+def test_http_inference(spark, server):
+    url, calls = server
+    config = CONFIG.with_(endpoints=(f"{url}/a", f"{url}/b/"), token="t0", inference_workers=3)
+    infer, run = providers.from_config(config)
+    assert infer.workers == 3 and run.workers == config.execution_workers
+    infer = dataclasses.replace(infer, retries=2, pause=0.0)
+    rows = spark.createDataFrame([(x,) for x in ("one", "two", "three", "four", "400", "429", "500")], "prompt string").withColumn("body", evaluate.request_body(F.lit("m"), F.col("prompt"), config))
+    got = {r["prompt"]: (r["response"], r["inference_ok"]) for r in infer.infer(rows).collect()}
+    assert got == {**{x: (f"you said {x}", True) for x in ("one", "two", "three", "four")}, **{x: (providers.FAILED_CALL, False) for x in ("400", "429", "500")}}
+    times = {x: sum(c[1] == x for c in calls) for x in ("400", "429", "500")}
+    assert times == {"400": 1, "429": 3, "500": 3}  # a refused call is not repeated
+    assert {c[0] for c in calls} == {"/a/chat/completions", "/b/chat/completions"} and {c[2] for c in calls} == {"Bearer t0"}
+    down = providers.HttpInference(("http://127.0.0.1:9",), retries=0)
+    assert down._ask("{}", "http://127.0.0.1:9")[0] is None
+
+
+def test_containers_from_config():
+    with pytest.raises(ConfigError, match="endpoints"):
+        providers.from_config(CONFIG)
+    _, run = providers.from_config(CONFIG.with_(endpoints=("x",), containers={"Go": "go.sif"}, execution_workers=9))
+    command = run.commands["Go"]
+    assert command[:2] == ["singularity", "exec"] and "go.sif" in command and command[-1] == "/code/{name}"
+    assert (run.workers, run.for_tests, run.memory_mb) == (9, ("test",), 0)
+
+
+def test_workers_bound_the_calls(spark):
+    rows = spark.range(100)
+    for workers in (1, 3, 4, 9):
+        dealt, threads = providers.spread(rows, workers)
+        assert dealt.rdd.getNumPartitions() * threads <= workers
 
 
 def test_verification(spark):
@@ -292,6 +359,21 @@ def test_caches_answer_and_keep(spark, tmp_path):
     assert stores.response.read().count() == 3
 
 
+def test_batch_replies(spark, tmp_path):
+    infer = providers.ExpressionInference(F.lit("```x```"))
+    rows = io.requests_from_rows(spark, [request("2"), request("1")])
+    args = (rows, infer, providers.ExpressionExecution(F.lit("no")), CONFIG.with_(depth=1))
+    here = service.answer_batch(*args)
+    assert len(here.request_id) == 6 and not here.returned_to_disk and here.responses.count() == 2
+    row = here.as_rows().first()
+    assert [r["translation_request"]["id"] for r in row["translation_responses"]] == ["1", "2"] and row["request_id"] == here.request_id
+    there = service.answer_batch(*args, base_name="b", save_path=str(tmp_path))
+    assert there.returned_to_disk and there.responses.count() == 0 and there.request_id != here.request_id
+    assert there.as_rows().first()["translation_responses"] == []
+    assert io.read_responses(spark, str(tmp_path / "b.json")).count() == io.read_responses(spark, str(tmp_path / "b.parquet"), "parquet").count() == 2
+    assert not service.answer_batch(*args, base_name="b").returned_to_disk
+
+
 def test_independent_responses(spark):
     infer = providers.ExpressionInference(F.lit("```x```"))
     got = service.respond(io.requests_from_rows(spark, [request()]), infer, providers.ExpressionExecution(F.lit("no")), CONFIG.with_(depth=1), independent=True).first()
