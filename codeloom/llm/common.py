@@ -75,6 +75,25 @@ def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(work, schema)
 
 
+#: Rows of a table that is sent to every executor at most; larger ones meet their partner by a shuffle.
+SENT_ROWS = 500_000
+#: Copies of the other side over which the rows of one key are spread in such a shuffle.
+SALTS = 16
+
+
+def meet(left: DataFrame, right: DataFrame, on: list[str], rows: int, spread: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has each key once and ``rows`` rows.
+
+    A small ``right`` is broadcast. A larger one is copied ``SALTS`` times and
+    the rows of ``left`` are dealt to the copies by ``spread``, so that no key
+    meets in one task however many rows have it.
+    """
+    if rows <= SENT_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "__salt"], how).drop("__salt")
+
+
 def connected_components(edges: DataFrame, rows: int, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b: long; at most ``rows`` of them); component: its smallest node.
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpointed, connected_components, in_batches, table, text_or_empty
+from codeloom.llm.common import checkpointed, connected_components, in_batches, meet, table, text_or_empty
 
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
@@ -288,6 +288,10 @@ SHINGLE_WORDS, LIKENESS = 5, 0.8
 CANDIDATE_RADII = (2, 4, 8, 13)
 #: Documents at least, and the largest share, whose shingles are counted to order prefixes, and shingles ranked; no result depends on them.
 SAMPLE_DOCS, SAMPLE_SHARE, RANKED = 2000, 256, 100_000
+#: Bits of a set's parities.
+PARITIES = 2048
+#: Seeds that are tried until no two classes share a 64-bit name.
+NAME_SEEDS = 8
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -298,22 +302,58 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, fp): a 128-bit hash of the word sequence and the fingerprint of its word pairs."""
+def _shingle_set(words: list[bytes], width: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words, width)]))
+
+
+def _name(words: list[bytes], seed: int) -> int:
+    """The class of a text's words, as a signed number."""
+    return _signed(_H(b" ".join(words), seed))
+
+
+def _parities(h: np.ndarray) -> np.ndarray:
+    """Bits that say whether an odd number of the set's shingles falls on them."""
+    odd = np.bincount((h & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, blob, data): blob names the text, so that both together name a document."""
+    text = text_or_empty()
+    return docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("blob"), text.cast("binary").alias("data"))
+
+
+def _marks(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """(doc_id, blob, node, check, fp, size, bits): node and check name the word sequence, fp is the fingerprint of its word pairs, size and bits describe its shingle set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h1, h2, fp = [], [], []
+            node, check, fp, size, bits = [], [], [], [], []
             for x in b.column("data").to_pylist():
                 words = words_of(x)
-                h = xxhash.xxh3_128_digest(b" ".join(words))
-                h1.append(int.from_bytes(h[:8], "little", signed=True))
-                h2.append(int.from_bytes(h[8:], "little", signed=True))
+                h = _shingle_set(words, width)
+                node.append(_name(words, seed))
+                check.append(_signed(xxhash.xxh3_64_intdigest(b" ".join(words))))
                 fp.append(fingerprint(words, 2))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(v, pa.int64()) for v in (h1, h2, fp))], ["doc_id", "h1", "h2", "fp"])
+                size.append(len(h))
+                bits.append(_parities(h))
+            made = [*(pa.array(v, pa.int64()) for v in (node, check, fp)), pa.array(size, pa.int32()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("blob"), *made], ["doc_id", "blob", "node", "check", "fp", "size", "bits"])
+
+    rows = _rows(docs)
+    return in_batches(rows, work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, blob binary, node long, check long, fp long, size int, bits array<long>")
 
-    rows = docs.select("doc_id", text_or_empty().cast("binary").alias("data"))
-    return in_batches(rows, work, "doc_id long, h1 long, h2 long, fp long")
+
+def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """(marks, classes, rows, seed): texts of the same words are one class (node, rep, n, fp, size, bits); rep is its first (doc_id, blob)."""
+    for seed in range(NAME_SEEDS):
+        marks = checkpointed(_marks(docs, width, seed))
+        n = marks.count()
+        about = [F.any_value(c).alias(c) for c in ("fp", "size", "bits")]
+        classes = checkpointed(marks.groupBy("node", "check").agg(F.min(F.struct("doc_id", "blob")).alias("rep"), F.count("*").alias("n"), *about).drop("check"), n)
+        if classes.count() == classes.select("node").distinct().count():
+            return marks, classes, n, seed
+    raise RuntimeError("different texts share a name under every seed")
 
 
 def _candidates(leaders: DataFrame, n: int) -> DataFrame:
@@ -328,21 +368,38 @@ def _candidates(leaders: DataFrame, n: int) -> DataFrame:
     return in_batches(_dealt(leaders, sample_masks(n), "id").select("key", "id", "fp"), work, "a long, b long").distinct()
 
 
-def _shingle_set(data: bytes, width: int) -> np.ndarray:
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words_of(data), width)]))
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(node) of every node of ``pairs`` (a, b)."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [_shingle_set(x, width).tobytes() for x in b.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+def _can_be_alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """``pairs`` without those whose sizes and parities show that too many shingles are in one set only.
 
-    return in_batches(docs.select("id", text_or_empty().cast("binary").alias("data")), work, "id long, shingles binary")
+    Two sets differ in at least as many shingles as their parities differ in
+    bits, so that no pair of a likeness of ``least`` or more goes.
+    """
+    nodes = checkpointed(_ends(pairs))
+    about = meet(classes.select("node", "size", "bits"), nodes, ["node"], nodes.count(), "node", "left_semi")
+    both = pairs.join(about.toDF("a", "m", "x"), "a").join(about.toDF("b", "n", "y"), "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda acc, k: acc + k)
+    return both.where(F.greatest(differ, F.abs(F.col("m") - F.col("n"))) <= (F.col("m") + F.col("n")) * ((1 - least) / (1 + least)) + 1e-6).select("a", "b").distinct()
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sets have a likeness of ``least`` or more."""
+def _alike(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs of classes whose whole shingle sets have a likeness of ``least`` or more."""
+    wanted = checkpointed(_ends(pairs))
+    count = wanted.count()
+    named = meet(classes.select("node", "rep"), wanted, ["node"], count, "node").select("node", "rep.doc_id", "rep.blob")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [_shingle_set(words_of(x), width).tobytes() for x in b.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(got, pa.binary())], ["node", "shingles"])
+
+    # Rows that repeat an id and a text are one document.
+    texts = meet(_rows(docs), named, ["doc_id", "blob"], count, "blob").select("node", "data")
+    known = checkpointed(in_batches(texts, sets, "node long, shingles binary").dropDuplicates(["node"]), count)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -350,9 +407,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             ok = pa.array([likeness(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= least for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return in_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), work, "a long, b long")
+    both = pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b")
+    return in_batches(both.select("a", "b", "x", "y"), work, "a long, b long")
 
 
 def _common_shingles(docs: DataFrame, n: int, width: int) -> np.ndarray:
@@ -361,7 +417,7 @@ def _common_shingles(docs: DataFrame, n: int, width: int) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column("data").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(x, width).view(np.int64))], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(words_of(x), width).view(np.int64))], ["h"])
 
     share = max(1, min(n // SAMPLE_DOCS, SAMPLE_SHARE))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select(text_or_empty().cast("binary").alias("data"))
@@ -370,8 +426,8 @@ def _common_shingles(docs: DataFrame, n: int, width: int) -> np.ndarray:
     return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def _prefixes(docs: DataFrame, common: np.ndarray, width: int, least: float) -> DataFrame:
-    """(id, size, keys): the first shingles of each text's set, rarest first.
+def _prefixes(docs: DataFrame, seed: int, common: np.ndarray, width: int, least: float) -> DataFrame:
+    """(node, size, keys): the first shingles of each class's set, rarest first.
 
     Sets of a likeness of ``least`` or more share one of these: all but
     ceil(least * size) - 1 shingles, in one order for all texts. Keys are the
@@ -382,30 +438,31 @@ def _prefixes(docs: DataFrame, common: np.ndarray, width: int, least: float) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, keys = [], []
+            node, size, keys = [], [], []
             for x in b.column("data").to_pylist():
-                h = _shingle_set(x, width)
+                words = words_of(x)
+                h = _shingle_set(words, width)
                 if len(known) and len(h):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[at] == h, by_hash[at] + 1, 0), kind="stable")]
+                node.append(_name(words, seed))
                 size.append(len(h))
                 # The subtrahend keeps a product just above a whole number from taking the next one.
                 keys.append((h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1] >> np.uint64(24)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["id", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "keys"])
 
-    rows = docs.select(F.col("doc_id").alias("id"), text_or_empty().cast("binary").alias("data"))
-    return in_batches(rows, work, "id long, size int, keys array<long>")
+    return in_batches(_rows(docs).select("data"), work, "node long, size int, keys array<long>").dropDuplicates(["node"])
 
 
 def _sharing(prefixes: DataFrame, least: float) -> DataFrame:
-    """(a, b): texts of ``prefixes`` (id, of, size, keys) that share a key, differ in ``of`` and can reach ``least`` by their sizes and the key's places.
+    """(a, b): classes of ``prefixes`` (node, of, size, keys) that share a key, differ in ``of`` and can reach ``least`` by their sizes and the key's places.
 
     Rows are sorted by key and ``of``, and a row meets only those of its key
     after its own ``of``: a large group costs nothing within itself.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, of, ids, size, at in _by_shard(batches, ("key", "of", "id", "size", "at")):
+        for key, of, ids, size, at in _by_shard(batches, ("key", "of", "node", "size", "at")):
             n = len(key)
             new_key = key[1:] != key[:-1]
             ends = lambda new, n=n: np.append(np.flatnonzero(new) + 1, n)[np.concatenate([[0], np.cumsum(new)])]
@@ -426,103 +483,89 @@ def _sharing(prefixes: DataFrame, least: float) -> DataFrame:
                 pair = np.unique(np.stack([np.maximum(ids[x[ok]], ids[y[ok]]), np.minimum(ids[x[ok]], ids[y[ok]])]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
-    rows = prefixes.select("id", "of", "size", F.posexplode("keys").alias("at", "key"))
-    dealt = rows.repartition("key").sortWithinPartitions("key", "of").select("key", "of", "id", "size", "at")
+    rows = prefixes.select("node", "of", "size", F.posexplode("keys").alias("at", "key"))
+    dealt = rows.repartition("key").sortWithinPartitions("key", "of").select("key", "of", "node", "size", "at")
     return in_batches(dealt, work, "a long, b long").distinct()
 
 
-def _parities(docs: DataFrame, width: int) -> DataFrame:
-    """(id, size, bits): 2048 bits of each text's set, each the parity of the shingles that fall on it."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size, bits = [], []
-            for x in b.column("data").to_pylist():
-                h = _shingle_set(x, width)
-                odd = np.bincount((h & np.uint64(2047)).astype(np.int64), minlength=2048) & 1
-                size.append(len(h))
-                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], ["id", "size", "bits"])
-
-    return in_batches(docs.select(F.col("doc_id").alias("id"), text_or_empty().cast("binary").alias("data")), work, "id long, size int, bits array<long>")
-
+def _joined(docs: DataFrame, classes: DataFrame, n: int, seed: int, label: DataFrame, width: int, least: float) -> DataFrame:
+    """``label`` (node, component) with the components linked that hold alike classes; no such pair is left out.
 
-def _can_be_alike(pairs: DataFrame, parities: DataFrame, least: float) -> DataFrame:
-    """``pairs`` without those whose parities alone show that too many shingles are in one set only.
-
-    Two sets differ in at least as many shingles as their parities differ in
-    bits, so that no pair of a likeness of ``least`` or more goes.
+    Only classes of different components are compared.
     """
-    both = pairs.join(parities.toDF("a", "m", "x"), "a").join(parities.toDF("b", "n", "y"), "b")
-    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda acc, k: acc + k)
-    return both.where(differ <= (F.col("m") + F.col("n")) * ((1 - least) / (1 + least)) + 1e-6).select("a", "b").distinct()
-
-
-def _joined(docs: DataFrame, ids: DataFrame, n: int, label: DataFrame, width: int, least: float) -> DataFrame:
-    """``label`` (node, component) with the components linked that hold alike texts of ``ids`` (id); no such pair is left out.
-
-    Only texts of different components are compared.
-    """
-    of = ids.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("of"))
-    prefixes = _prefixes(docs, _common_shingles(docs, n, width), width, least).join(of, "id")
-    shared = checkpointed(_sharing(prefixes, least))
-    some = shared.select(F.col("a").alias("id")).unionByName(shared.select(F.col("b").alias("id"))).distinct()
-    pairs = checkpointed(_can_be_alike(shared, _parities(docs, width).join(some, "id", "left_semi"), least))
+    some = label.count()
+    of = label.withColumnRenamed("component", "of")
+    component = F.coalesce("of", "node").alias("of")
+    prefixes = meet(_prefixes(docs, seed, _common_shingles(docs, n, width), width, least), of, ["node"], some, "node", "left").select("node", component, "size", "keys")
+    pairs = checkpointed(_can_be_alike(checkpointed(_sharing(prefixes, least)), classes, least))
     found = pairs.count()
     if not found:
         return label
-    both = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(both, "id", "left_semi")
-    links = _alike(pairs, _shingle_sets(texts, width), least).distinct()
-    links = links.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
-    links = checkpointed(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), found)
+    links = _alike(pairs, docs, classes, width, least)
+    for end in ("a", "b"):
+        links = meet(links.withColumnRenamed(end, "node"), of, ["node"], some, "node", "left").withColumn(end, component).drop("node", "of")
+    links = checkpointed(links.distinct(), found)
     merged = connected_components(links, max(1, links.count())).select(F.col("node").alias("component"), F.col("component").alias("top"))
     # A component's smallest node is a node of ``label`` only if it has links of its own.
     alone = merged.select(F.col("component").alias("node")).join(label.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
-    return label.unionByName(alone).join(merged, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return checkpointed(label.unionByName(alone).join(merged, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: float = LIKENESS) -> DataFrame:
-    """(doc_id, group_id, n_same) of each distinct doc_id: group_id is the smallest id of its group.
+    """(doc_id, blob, group_id, n_same, kept) of each distinct document, a pair of doc_id and text.
+
+    blob is the MD5 of the text; group_id the smallest doc_id of the group;
+    kept marks the one document of the group that stays: of the smallest
+    doc_id, then of the smallest blob; n_same counts the rows that are this
+    document. doc_id may be of any type that can be ordered; rows whose doc_id
+    is null are left out (the caller keeps such rows).
 
     Documents with the same words are one class. Classes link if their sets of
     ``width``-word shingles have a likeness of ``least`` or more; first
     candidates come from the BK-trees of shards of SimHash fingerprints, and
     the groups that these make are joined by an exact search for shared
-    shingles. Every candidate is checked against the whole sets. Null and empty texts are one
-    class. Rows that repeat a doc_id count as one document (n_same rows); null
-    ids are left out (the caller keeps such rows).
+    shingles. Every candidate is checked against the whole sets. Null, empty
+    and blank texts are one class. An empty table gives an empty result.
     """
-    marks = checkpointed(_marks(docs.where(F.col("doc_id").isNotNull())))
-    n = marks.count()
-    classes = checkpointed(marks.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), n)
-    leaders = checkpointed(classes.groupBy("fp").agg(F.min("id").alias("id")), n)
-    same = classes.join(leaders.withColumnRenamed("id", "b"), "fp").where("id <> b").select(F.col("id").alias("a"), "b")
+    docs = docs.where(F.col("doc_id").isNotNull())
+    marks, classes, n, seed = _classes(docs, width)
+    leaders = checkpointed(classes.groupBy("fp").agg(F.min("node").alias("id")), n)
+    same = classes.select("node", "fp").join(leaders.withColumnRenamed("id", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
     pairs = checkpointed(same.unionByName(_candidates(leaders, leaders.count())).where("a <> b").distinct(), 2 * n)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    # An id of several rows stands for the class that it leads; its other texts are compared as well.
-    links = checkpointed(_alike(pairs, _shingle_sets(texts, width), least).distinct(), pairs.count())
-    members = marks.join(classes.select("h1", "h2", "id"), ["h1", "h2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    label = checkpointed(connected_components(links.unionByName(members.distinct()), links.count() + n), 2 * n)
-    label = _joined(docs.where(F.col("doc_id").isNotNull()), classes.select("id").distinct(), n, label, width, least)
-    rows = marks.groupBy("doc_id").agg(F.count("*").alias("n_same"))
-    return rows.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"), "n_same")
+    pairs = checkpointed(_can_be_alike(pairs, classes, least), n)
+    links = checkpointed(_alike(pairs, docs, classes, width, least).distinct(), n)
+    label = checkpointed(connected_components(links, max(1, links.count())), n)
+    label = _joined(docs, classes, n, seed, label, width, least)
+    # What says more than that a document is alone: linked classes with their group's first document, and classes of several rows.
+    linked = meet(classes.select("node", "rep"), label, ["node"], label.count(), "node")
+    first = checkpointed(linked.groupBy("component").agg(F.min("rep").alias("first")), n)
+    linked = meet(linked, first, ["component"], first.count(), "node").select("node", "first")
+    several = classes.where("n > 1").select("node", "rep").join(linked.select("node"), "node", "left_anti").select("node", F.col("rep").alias("first"))
+    changed = checkpointed(linked.unionByName(several), n)
+    rows = marks.groupBy("doc_id", "blob", "node").agg(F.count("*").alias("n_same"))
+    rows = meet(rows, changed, ["node"], changed.count(), "blob", "left")
+    own = F.struct("doc_id", "blob")
+    return rows.select("doc_id", "blob", F.coalesce(F.col("first.doc_id"), F.col("doc_id")).alias("group_id"), "n_same", (F.col("first").isNull() | (F.col("first") == own)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, least: float = LIKENESS) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one of the smallest doc_id.
+    """``docs`` with one document of each near-duplicate group, the one of the smallest doc_id, then of the smallest MD5 of its text.
 
-    All columns stay as they are. Rows with a null doc_id stay; of rows that
-    repeat a doc_id one stays.
+    All columns stay as they are. Rows with a null doc_id stay. Different texts
+    that share a doc_id are different documents. Of rows that repeat a doc_id
+    and a text the one whose columns come first as JSON stays. A null text
+    counts as empty; an empty table gives an empty result.
     """
-    groups = near_duplicate_groups(docs, width, least)
-    keep = checkpointed(groups.where("doc_id = group_id").select(F.col("doc_id").alias("__id"), "n_same"), docs.count())
-    kept = docs.join(keep.where("n_same = 1"), F.col("doc_id") == F.col("__id"), "left_semi")
-    if repeated := keep.where("n_same > 1").count():
-        again = docs.join(keep.where("n_same > 1"), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.unionByName(again) if repeated else kept
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    groups = checkpointed(near_duplicate_groups(docs, width, least))
+    gone = groups.where("not kept or n_same > 1").select(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob"), "kept")
+    count = gone.count()
+    marked = docs.withColumn("__id", F.col("doc_id")).withColumn("__blob", F.unhex(F.md5(text_or_empty().cast("binary"))))
+    kept = meet(marked, gone.drop("kept"), ["__id", "__blob"], count, "__blob", "left_anti").select(*docs.columns)
+    again = gone.where("kept").drop("kept")
+    if repeated := again.count():
+        rows = meet(marked, again, ["__id", "__blob"], repeated, "__blob").select("__id", "__blob", F.struct(*docs.columns).alias("__row"))
+        kept = kept.unionByName(rows.groupBy("__id", "__blob").agg(F.min_by("__row", F.to_json("__row")).alias("__row")).select("__row.*"))
+    return kept
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
