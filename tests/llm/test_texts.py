@@ -327,6 +327,11 @@ def luhn(s):
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10
 
 
+def replaced(spark, rows, **options):
+    got = surrogates.replace_entities(spark.createDataFrame(rows, KIND), **options).collect()
+    return {r["doc_id"]: r["text"] for r in got}
+
+
 def test_surrogates(spark):
     rows = [
         (1, "Mr John Smith met Mrs. Anna Brown. Mr John Smith: a.b@x.com, A.B@X.com."),
@@ -344,8 +349,8 @@ def test_surrogates(spark):
         assert secret.lower() not in all_text.lower()
     a, b = re.findall(r"Mr (\w+ \w+)", text[1])
     assert a == b and re.search(r"Mrs\. \w+na \w+", text[1])
-    mails = re.findall(r"\S+@\S+\.example", text[1])
-    assert len(mails) == 2 and mails[0] == mails[1]
+    mails = re.findall(r"\S+@\S+\.com", text[1])
+    assert len(mails) == 2 and mails[0] == mails[1] and re.fullmatch(r"\w\.\w@\w\.com", mails[0])
     cards = re.search(r"card (\d{4} \d{4} \d{4} \d{4}) or (\d{16})", text[2]).groups()
     assert cards[0].replace(" ", "") == cards[1] and luhn(cards[1]) == 0
     assert re.search(r"г-н [А-Я]\w+н [А-Я]\w+, \+1 \(\d{3}\) \d{3}-\d{4} and \d+\.\d+\.\d+\.\d+; Κυρία [Α-Ω]", text[3])
@@ -353,14 +358,121 @@ def test_surrogates(spark):
     assert surrogates.replace_entities(spark.createDataFrame([], KIND)).count() == 0
 
 
+def test_a_person_has_one_surrogate(spark):
+    got = replaced(
+        spark,
+        [
+            (1, "Mr John Smith wrote. John Smith said so. Dr. John Smith and Mr Smith. SMITH left; Smithson and Johnny stay. John's."),
+            (2, "Dr John Smith is here, and Mrs Smith."),
+            (3, "John Smith is nobody here."),
+            (4, "Ms Kim Lee and Mr Kim Roe"),
+        ],
+    )
+    m = re.fullmatch(r"Mr (\w+) (\w+) wrote\. \1 \2 said so\. Dr\. \1 \2 and Mr \2\. (\w+) left; Smithson and Johnny stay\. \1's\.", got[1])
+    assert m and m[3] == m[2].upper()
+    assert got[2] == f"Dr {m[1]} {m[2]} is here, and Mrs {m[2]}." and m[1].endswith("n")
+    assert got[3] == "John Smith is nobody here."
+    kim = re.fullmatch(r"Ms (\w+) (\w+na) and Mr (\w+) (\w+n)", got[4])
+    assert kim and kim[1] == kim[3] and kim[1].endswith("l")
+
+
+def remainder(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_formats_are_kept(spark):
+    texts = [
+        "DE89 3704 0044 0532 0130 00 GB82WEST12345698765432",
+        "first.last+tag9@mail.Some-Host.co.uk x@y.org",
+        "call 555-0199, 06 12 34 56 78 or 0211/1234567 at 10:20:30",
+        "2001:db8::8a2e:370:7334 fe80::1 std::vector add::face 1:2:3:4:5:6:7:8",
+    ]
+    got = replaced(spark, list(enumerate(texts)))
+    shape = lambda t: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", t)))
+    assert [remainder(x) for x in (got[0][:27].replace(" ", ""), got[0].split()[-1])] == [1, 1] and shape(got[0]) == shape(texts[0])
+    assert shape(got[1]) == shape(texts[1].lower()) and got[1].split()[0].endswith(".uk") and got[1].endswith(".org")
+    assert shape(got[2]) == shape(texts[2]) and got[2].endswith("at 10:20:30") and "555-0199" not in got[2] and " 06 " not in got[2][:9] and "or 0" in got[2]
+    assert "std::vector add::face" in got[3] and "db8" not in got[3] and "fe80" not in got[3] and [len(x) for x in got[3].split()] == [len(x) for x in texts[3].split()]
+
+
+def test_domains_and_addresses_stay_distinct(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    domains = [f"{x}.com" for x in letters]
+    rows = [(k, f"a@{d} and b@{d}") for k, d in enumerate(domains)] + [(100 + k, f"{x}@same.org") for k, x in enumerate(letters)]
+    got = replaced(spark, rows)
+    own = [re.findall(r"\S+@\S+", got[k]) for k in range(26)]
+    assert all(a.split("@")[1] == b.split("@")[1] and a != b for a, b in own)
+    made = {a.split("@")[1] for a, _ in own}
+    assert len(made) == 26 and not made & set(domains)
+    assert len({got[100 + k] for k in range(26)}) == 26
+
+
+def test_surrogates_over_a_table(spark):
+    """Distinctness and coreference by brute force: Python finds the entities of both texts and pairs them by their places."""
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in big.select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(big).collect()}
+    kinds = {"mail": r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+", "ssn": r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])", "iban": r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"}
+    maps = {k: {} for k in kinds}
+    seen = 0
+    for i, t in rows.items():
+        for k, p in kinds.items():
+            a, b = re.findall(p, t), re.findall(p, got[i])
+            assert len(a) == len(b)
+            for x, y in zip(a, b, strict=True):
+                assert x != y and maps[k].setdefault(x.lower().replace(" ", ""), y.lower().replace(" ", "")) == y.lower().replace(" ", "")
+                seen += 1
+    for m in maps.values():
+        assert len(set(m.values())) == len(m) and not set(m.values()) & set(m)
+    assert seen > 10
+
+
+def test_names_by_brute_force(spark):
+    rng = random.Random(5)
+    first, last = [f"{a}{b}" for a in ("Jo", "An", "Ka", "Ми", "Σο") for b in ("na", "ren", "lo")], [f"{a}{b}" for a in ("Smi", "Bro", "Пет") for b in ("th", "wn", "ров")]
+    rows = []
+    for i in range(80):
+        people = [(rng.choice(first), rng.choice(last)) for _ in range(3)]
+        parts = []
+        for a, b in people:
+            parts += [f"{rng.choice(['Mr', 'Mrs', 'Dr', 'Prof.', 'Frau'])} {a} {b}", "und", rng.choice([f"{a} {b}", b, a, b.upper()]), "plain words."]
+        parts += [f"{rng.choice(first)}x", "ends"]
+        rows.append((i, " ".join(parts)))
+    got = replaced(spark, rows)
+    titles = {"Mr", "Mrs", "Dr", "Prof.", "Frau"}
+    pairs = {}
+    for i, t in rows:
+        a, b = t.split(" "), got[i].split(" ")
+        assert len(a) == len(b)
+        held = {w for k, x in enumerate(a) if x in titles for w in a[k + 1 : k + 3]}
+        held |= {w.upper() for w in held}
+        for x, y in zip(a, b, strict=True):
+            if x in held:
+                assert x != y and pairs.setdefault(x.lower(), y.lower()) == y.lower() and x.isupper() == y.isupper()
+            else:
+                assert x == y
+    assert len(pairs) > 20 and len(set(pairs.values())) == len(pairs) and not set(pairs.values()) & set(pairs)
+    script = lambda w: "CYRILLIC" if re.match("[а-яё]", w) else "GREEK" if re.match("[α-ω]", w) else "LATIN"
+    assert all(script(x) == script(y) for x, y in pairs.items())
+
+
 def test_surrogates_stay_distinct(spark):
-    found = spark.createDataFrame([("ssn", f"{k:03d}") for k in range(60)], "kind string, value string")
+    schema = "kind string, value string, gender string"
+    found = spark.createDataFrame([("ssn", f"{k:03d}", "n") for k in range(60)], schema)
     done = surrogates.resolve(found)
-    made = done.select("value", surrogates.surrogate(F.col("kind"), F.col("value"), F.col("tries")).alias("m")).collect()
+    made = done.select("value", surrogates.surrogate(F.col("kind"), F.col("value"), F.col("gender"), F.col("tries")).alias("m")).collect()
     assert len({r["m"] for r in made}) == 60 and not {r["m"] for r in made} & {r["value"] for r in made}
     assert done.where("tries > 0").count() > 0
     with pytest.raises(ValueError, match="more members"):
-        surrogates.resolve(spark.createDataFrame([("ssn", f"{k:02d}") for k in range(30)], "kind string, value string"), rounds=4)
+        surrogates.resolve(spark.createDataFrame([("ssn", f"{k:02d}", "n") for k in range(30)], schema), rounds=4)
+
+
+def test_surrogates_of_long_and_repeated_texts(spark):
+    long = "Mr John Smith, " + "word " * 60000 + "Smith."
+    got = surrogates.replace_entities(spark.createDataFrame([(1, long), (1, long), (2, "12"), (None, None)], KIND)).collect()
+    own = [r["text"] for r in got if r["doc_id"] == 1]
+    assert own[0] == own[1] and "Smith" not in own[0] and len(own[0].split()) == len(long.split())
+    assert sorted(r["n_entities"] for r in got) == [0, 0, 2, 2]
 
 
 def test_surrogates_depend_on_the_key(spark):
