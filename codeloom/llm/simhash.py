@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import checkpointed, connected_components, in_batches, meet, table, text_or_empty
@@ -288,8 +288,8 @@ SHINGLE_WORDS, LIKENESS = 5, 0.8
 CANDIDATE_RADII = (2, 4, 8, 13)
 #: Documents at least, and the largest share, whose shingles are counted to order prefixes, and shingles ranked; no result depends on them.
 SAMPLE_DOCS, SAMPLE_SHARE, RANKED = 2000, 256, 100_000
-#: Bits of a set's parities.
-PARITIES = 2048
+#: Bits of a set's parities: a power of two, this many times the set's size at least, and within bounds.
+PARITY_BITS, LEAST_PARITIES, MOST_PARITIES = 4, 512, 1 << 20
 #: Seeds that are tried until no two classes share a 64-bit name.
 NAME_SEEDS = 8
 
@@ -313,7 +313,8 @@ def _name(words: list[bytes], seed: int) -> int:
 
 def _parities(h: np.ndarray) -> np.ndarray:
     """Bits that say whether an odd number of the set's shingles falls on them."""
-    odd = np.bincount((h & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    n = min(MOST_PARITIES, max(LEAST_PARITIES, 1 << (PARITY_BITS * len(h)).bit_length()))
+    odd = np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -380,17 +381,29 @@ def _can_be_alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFra
     bits, so that no pair of a likeness of ``least`` or more goes.
     """
     nodes = checkpointed(_ends(pairs))
-    about = meet(classes.select("node", "size", "bits"), nodes, ["node"], nodes.count(), "node", "left_semi")
-    both = pairs.join(about.toDF("a", "m", "x"), "a").join(about.toDF("b", "n", "y"), "b")
-    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda acc, k: acc + k)
-    return both.where(F.greatest(differ, F.abs(F.col("m") - F.col("n"))) <= (F.col("m") + F.col("n")) * ((1 - least) / (1 + least)) + 1e-6).select("a", "b").distinct()
+    count = nodes.count()
+    about = checkpointed(meet(classes.select("node", "size", "bits"), nodes, ["node"], count, "node", "left_semi"), count)
+    near_in_size = F.abs(F.col("m") - F.col("n")) <= (F.col("m") + F.col("n")) * ((1 - least) / (1 + least)) + 1e-6
+    sized = about.select("node", "size")
+    pairs = pairs.join(sized.toDF("a", "m"), "a").join(sized.toDF("b", "n"), "b").where(near_in_size)
+    both = pairs.join(about.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(about.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
+
+    def halved(long: Column, short: Column) -> Column:
+        """Parities of twice as many bits, folded; sets that can be alike differ no more than that."""
+        k = F.size(short)
+        folded = F.zip_with(F.slice(long, F.lit(1), k), F.slice(long, k + 1, k), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(long) > k, folded).otherwise(long)
+
+    bits = F.zip_with(halved(F.col("x"), F.col("y")), halved(F.col("y"), F.col("x")), lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int"))
+    differ = F.aggregate(bits, F.lit(0), lambda acc, k: acc + k)
+    return both.where(differ <= (F.col("m") + F.col("n")) * ((1 - least) / (1 + least)) + 1e-6).select("a", "b").distinct()
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs of classes whose whole shingle sets have a likeness of ``least`` or more."""
     wanted = checkpointed(_ends(pairs))
     count = wanted.count()
-    named = meet(classes.select("node", "rep"), wanted, ["node"], count, "node").select("node", "rep.doc_id", "rep.blob")
+    named = classes.select("node", "rep").join(wanted, "node").select("node", "rep.doc_id", "rep.blob")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -503,7 +516,7 @@ def _joined(docs: DataFrame, classes: DataFrame, n: int, seed: int, label: DataF
         return label
     links = _alike(pairs, docs, classes, width, least)
     for end in ("a", "b"):
-        links = meet(links.withColumnRenamed(end, "node"), of, ["node"], some, "node", "left").withColumn(end, component).drop("node", "of")
+        links = links.withColumnRenamed(end, "node").join(of, "node", "left").withColumn(end, F.coalesce("of", "node")).drop("node", "of")
     links = checkpointed(links.distinct(), found)
     merged = connected_components(links, max(1, links.count())).select(F.col("node").alias("component"), F.col("component").alias("top"))
     # A component's smallest node is a node of ``label`` only if it has links of its own.
@@ -537,9 +550,9 @@ def near_duplicate_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: fl
     label = checkpointed(connected_components(links, max(1, links.count())), n)
     label = _joined(docs, classes, n, seed, label, width, least)
     # What says more than that a document is alone: linked classes with their group's first document, and classes of several rows.
-    linked = meet(classes.select("node", "rep"), label, ["node"], label.count(), "node")
-    first = checkpointed(linked.groupBy("component").agg(F.min("rep").alias("first")), n)
-    linked = meet(linked, first, ["component"], first.count(), "node").select("node", "first")
+    linked = checkpointed(classes.select("node", "rep").join(label, "node"), n)
+    first = linked.groupBy("component").agg(F.min("rep").alias("first"))
+    linked = meet(linked, first, ["component"], label.count(), "node").select("node", "first")
     several = classes.where("n > 1").select("node", "rep").join(linked.select("node"), "node", "left_anti").select("node", F.col("rep").alias("first"))
     changed = checkpointed(linked.unionByName(several), n)
     rows = marks.groupBy("doc_id", "blob", "node").agg(F.count("*").alias("n_same"))
