@@ -73,15 +73,51 @@ def _pair():
     return _MADE
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=ALPHABET, max_size=25), st.integers(0, 12))
+SCRIPTS = ALPHABET + "ΣσςΑΩЖжёЙ漢字カナ한국ᄒ\u1161\u11abत्रेع\u0323\u0307é😀👩‍👧ﬁǅ"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(alphabet=SCRIPTS, max_size=25), st.text(max_size=15), st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "a<", "'", "'ll", " ", "é", "e\u0301"]), max_size=6).map("".join)), st.integers(0, 12))
 def test_every_prefix(text, budget):
     lib, own = _pair()
     t = own.table(text)
     counts = [len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
-    assert [t.at(i) for i in range(len(text) + 1)] == counts
-    cut = t.cut(budget)
-    assert counts[cut] <= budget and (cut == len(text) or counts[-1] > budget)
+    assert [t.at(i) for i in range(len(text) + 1)] == counts == t.counts().tolist() and t.total == counts[-1]
+    assert t.cut(budget) == max(i for i, n in enumerate(counts) if n <= budget)
+
+
+def test_prefixes_of_long_words():
+    lib, own = _pair()
+    rng = random.Random(4)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "etaoins", "0a", "αβγδε", "!?-_=+", "汉字漢語"):
+        word = "".join(rng.choice(letters) for _ in range(400))
+        t = own.table(f"x {word} y")
+        for i in (*range(0, 60), 200, 331, 402, 403):
+            assert t.at(i) == len(lib.encode(f"x {word} y"[:i], add_special_tokens=False).ids)
+
+
+class Counted:
+    """A library that counts its calls."""
+
+    def __init__(self, library):
+        self.library, self.calls = library, 0
+
+    def encode(self, *args, **options):
+        self.calls += 1
+        return self.library.encode(*args, **options)
+
+
+def test_one_encoding_of_a_text(docs):
+    own = tokens.TokenTable()
+    own.library = Counted(own.library)
+    texts = [r["text"] for r in docs.collect()] + ["Привет, мир! " * 3000, "汉字 and “quotes”", "<|endoftext|> " * 5]
+    for t in texts:
+        before = own.library.calls
+        table = own.table(t)
+        for budget in (0, 5, 2048):
+            table.cut(budget)
+        table.at(len(t) // 2)
+        assert own.library.calls - before <= 1
 
 
 def test_token_counts_of_odd_rows(spark, library):
