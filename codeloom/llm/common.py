@@ -36,16 +36,27 @@ def ascii_lower(c: Column) -> Column:
 FILE_ROWS = 100_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session's ``spark.checkpoint.dir`` names, which all executors share.
+
+    A temporary one is set only where a local session names none (tests).
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written once to the shared checkpoint folder; its lineage ends there.
 
     ``rows`` bounds how many rows ``df`` can have: a table that is cheap to
-    finish and small for its partitions is written in fewer files. The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    set only where the session names none (tests).
+    finish and small for its partitions is written in fewer files.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
+    shared_folder(df.sparkSession)
     return (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).checkpoint(eager=True)
 
 
