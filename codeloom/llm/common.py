@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.runtime import SharedFolder
+
 #: Rows and bytes of one Arrow batch that goes to a Python worker; bounds the worker's memory.
 BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
@@ -51,13 +54,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder; its lineage ends there.
+    """``df`` written once to a table in the shared folder and read from there; its lineage ends there.
 
-    ``rows`` bounds how many rows ``df`` can have: a table that is cheap to
-    finish and small for its partitions is written in fewer files.
+    A table has the size that it has: the sizes that the planner guesses for a
+    chain of joins over checkpoints are products, numbers whose length doubles
+    with every round and which fill the driver's memory. ``rows`` bounds how
+    many rows ``df`` can have: a table that is cheap to finish and small for
+    its partitions is written in fewer files.
     """
-    shared_folder(df.sparkSession)
-    return (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard_tables(spark: SparkSession) -> None:
+    """Delete the tables that this session has written on the way; results that still read them are lost."""
+    SharedFolder(spark, shared_folder(spark)).delete("tables")
 
 
 _SHIPPED: set[str] = set()
@@ -109,7 +122,7 @@ def connected_components(edges: DataFrame, rows: int, max_rounds: int = 60) -> D
     """(node, component) of every node of ``edges`` (a, b: long; at most ``rows`` of them); component: its smallest node.
 
     Alternating large-star and small-star rounds; each round's edges are
-    checkpointed, none reach the driver. A node that stands alone in a self
+    written, none reach the driver. A node that stands alone in a self
     loop is its own component.
 
     A hub with many neighbours meets in one aggregation group only as a
