@@ -24,10 +24,11 @@ def _stands(words: list[str], at: str) -> str:
 
 
 def _template(k: int, t: Template) -> str:
-    n = len(t.words)
-    there = " AND ".join(f"({_stands(words, f's + {o}')})" for o, words in t.offsets())
-    starts = f"list_filter(range(-{n}, len(w)), lambda s: coalesce({there}, false))"
-    return f"CASE WHEN maybe THEN {starts} ELSE [] END AS t{k}"
+    """Starts of a template: where its first phrase stands, less that phrase's offset, if the others stand as well."""
+    (first, words), rest = t.offsets()[0], t.offsets()[1:]
+    there = " AND ".join(f"({x})" for x in (_stands(words, "p"), *(_stands(v, f"p + {o - first}") for o, v in rest)))
+    starts = f"list_transform(list_filter(range(0, len(w)), lambda p: coalesce({there}, false)), lambda p: p - {first})"
+    return f"CASE WHEN list_has_all(w, [{', '.join(map(_quoted, words))}]) THEN {starts} ELSE [] END AS t{k}"
 
 
 def _share(k: int, t: Template) -> str:
@@ -37,8 +38,6 @@ def _share(k: int, t: Template) -> str:
 
 def licence_sql() -> str:
     base = ", ".join(f"list_filter(range(0, len(w)), lambda s: coalesce({_stands(p.split(), 's')}, false)) AS b{k}" for k, (p, _) in enumerate(BASE))
-    keys = sorted({p.split()[0] for t in TEMPLATES for p in t.phrases})
-    maybe = f"list_has_any(w, [{', '.join(map(_quoted, keys))}])"
     made = ", ".join(_template(k, t) for k, t in enumerate(TEMPLATES))
     count = " + ".join(f"len(b{k})" for k in range(len(BASE)))
     joined = " || ".join(f"b{k}" for k in range(len(BASE)))
@@ -46,8 +45,8 @@ def licence_sql() -> str:
     own = " || ".join(f"CASE WHEN len(t{k}) > 0 THEN [{_quoted(t.label)}] ELSE CAST([] AS VARCHAR[]) END" for k, t in enumerate(TEMPLATES))
     shares = ", ".join(_share(k, t) for k, t in enumerate(TEMPLATES))
     return f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), m AS (SELECT *, {maybe} AS maybe FROM d),
-f AS (SELECT doc_id, w, {base}, {made} FROM m), g AS (SELECT *, {count} AS n, {joined} AS places FROM f)
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+f AS (SELECT doc_id, w, {base}, {made} FROM d), g AS (SELECT *, {count} AS n, {joined} AS places FROM f)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
   array_to_string(list_sort({base_labels}), ',') AS base_labels, array_to_string(list_sort(list_distinct({base_labels} || {own})), ',') AS labels,
   CASE WHEN n > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(greatest({shares}) AS DOUBLE) END AS score

@@ -246,6 +246,43 @@ def test_licence_templates(spark):
     assert licenses.scan_licences(df.limit(0)).count() == 0
 
 
+def labels_of(spark, texts, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), KIND)
+    return [r["labels"] for r in licenses.scan_licences(df, **options).orderBy("doc_id").collect()]
+
+
+def test_notices_identifiers_and_versions(spark):
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    texts = {
+        "// SPDX-License-Identifier: MIT": "mit",
+        "# SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+        "BSD 3-Clause License": "bsd-3-clause",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "Apache License, Version 1.1": "apache-1.1",
+        'Licensed under the Apache License, Version 2.0 (the "License")': "apache-2.0",
+        gnu.format(3): "gpl,gpl-3.0",
+        gnu.format(2): "gpl,gpl-2.0",
+        "Apache License": "",
+        "version 2.0 of an Apache": "",
+        "SPDX-License-Identifier: GPL-3.0-only OR MIT": "gpl-3.0",
+    }
+    assert labels_of(spark, list(texts)) == list(texts.values())
+
+
+def test_many_templates_and_common_phrases(spark):
+    own = tuple(licenses.Template(f"l{k}", f"notice of the q{k}x q{k}y and z{k}", (f"q{k}x q{k}y", f"z{k}")) for k in range(300))
+    plain = licenses.Template("plain", "use of this and that", ("use of this",))
+    texts = ["Notice of the q7x q7y and z7; q8x q8y and z9", "the use of this", "use this of", "q299x q299y or z299"]
+    assert labels_of(spark, texts, templates=(*own, plain)) == ["l7", "plain", "", "l299"]
+
+
+def test_licences_of_odd_rows(spark):
+    rows = [*ODD, (None, "MIT License"), (4, "x " * 40000 + "All rights reserved"), (4, "y")]
+    got = licenses.scan_licences(spark.createDataFrame(rows, KIND).withColumn("found", F.lit(1)).withColumn("places", F.lit("x"))).collect()
+    assert len(got) == len(rows) and sorted(r["labels"] for r in got if r["doc_id"] is None) == ["", "mit"]
+    assert [(r["n_base"], r["first_word"], r["last_word"]) for r in got if r["doc_id"] == 4 and r["n_words"] > 1] == [(1, 40000, 40000)]
+
+
 def brute_hits(texts, items, n=13):
     windows = {}
     for name, t in items:
