@@ -58,17 +58,18 @@ FROM g
 
 DECONTAMINATION_SQL = f"""
 WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, row_number() OVER () AS i, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
-wins AS (SELECT item, i, k, w[k + 1 : k + least(len(w), {WINDOW})] AS win FROM items, range(0, 10000) r(k) WHERE len(w) > 0 AND k < greatest(1, len(w) - {WINDOW - 1})),
+wins AS (SELECT item, i, k, w[k + 1 : k + least(len(w), {WINDOW})] AS win FROM (SELECT *, unnest(range(0, greatest(1, len(w) - {WINDOW - 1}))) AS k FROM items WHERE len(w) > 0)),
 docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 sizes AS (SELECT DISTINCT len(win) AS n FROM wins),
 spots AS (SELECT doc_id, n, unnest(range(0, len(w) - n + 1)) AS p, w FROM docs, sizes WHERE len(w) >= n),
 found AS (SELECT doc_id, item, i, k, p, n FROM spots JOIN wins ON spots.w[p + 1 : p + n] = wins.win),
 hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS at FROM found) GROUP BY doc_id),
-runs AS (SELECT doc_id, i, p, k, n, p - row_number() OVER (PARTITION BY doc_id, i, p - k ORDER BY p) AS island FROM found),
-long AS (SELECT doc_id, max(z) AS longest FROM (SELECT doc_id, max(p + n) - min(p) AS z FROM runs GROUP BY doc_id, i, p - k, island) GROUP BY doc_id),
+runs AS (SELECT doc_id, item, i, p, k, n, p - row_number() OVER (PARTITION BY doc_id, i, p - k ORDER BY p) AS island FROM found),
+matches AS (SELECT doc_id, item, max(p + n) - min(p) AS z, min(p) AS s, min(k) AS a FROM runs GROUP BY doc_id, item, i, p - k, island),
+long AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY z DESC, s, item, a) = 1),
 own AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM found GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND {SHARE} * coalesce(n_hit, 0) >= len(d.w) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
+  coalesce(n_hit, 0) > 0 AND {SHARE} * coalesce(n_hit, 0) >= len(d.w) AS contaminated, CAST(coalesce(z, 0) AS BIGINT) AS longest_match, CAST(s AS BIGINT) AS match_start, long.item AS match_item, CAST(a AS BIGINT) AS match_at
 FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN long USING (doc_id)
 """
 

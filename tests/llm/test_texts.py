@@ -303,22 +303,42 @@ def brute_hits(texts, items, n=13):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 24, 600])
-def test_decontamination(spark, docs, block):
-    benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(12 if block == 600 else 100)
+def check_matches(texts, got, items):
+    """The matches stand where they are said to, and cannot be made longer at either end."""
+    n = 0
+    for i, r in got.items():
+        if not r["longest_match"]:
+            assert (r["match_start"], r["match_item"], r["match_at"]) == (None, None, None)
+            continue
+        d, b = (WORD.findall(t.translate(LOW)) for t in (texts[i], items[r["match_item"]]))
+        s, a, z = r["match_start"], r["match_at"], r["longest_match"]
+        assert d[s : s + z] == b[a : a + z] and len(d[s : s + z]) == z
+        if len(b) > 13:
+            assert (s == 0 or a == 0 or d[s - 1] != b[a - 1]) and (d[s + z : s + z + 1] != b[a + z : a + z + 1] or not d[s + z : s + z + 1])
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize(("block", "blocks"), [(1 << 24, 8), (20_000, 2), (20_000, 99)])
+def test_decontamination(spark, docs, block, blocks):
+    benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(100 if block > 20_000 else 12)
     extra = spark.createDataFrame([(900, "short item"), (901, "Uno"), (902, None), (903, "...")], "item_id long, text string")
     benchmark = benchmark.unionByName(extra).cache()
-    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, benchmark, block_bytes=block).collect()}
+    quoted = [(20_000 + k, f"so it says {' '.join(b['text'].split()[k : k + 20 + 3 * k])} {b['text']} and more") for k, b in enumerate(benchmark.limit(9).collect())]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(quoted, KIND)).cache()
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, benchmark, index_bytes=block, pass_blocks=blocks).collect()}
     rows = docs.collect()
     want = brute_hits([r["text"] for r in rows], [(str(b["item_id"]), b["text"]) for b in benchmark.collect()])
     assert [(got[r["doc_id"]]["n_words"], got[r["doc_id"]]["n_hit"], got[r["doc_id"]]["item_ids"], got[r["doc_id"]]["contaminated"]) for r in rows] == want
-    if block != 600:
+    places = check_matches({r["doc_id"]: r["text"] for r in rows}, got, {str(b["item_id"]): b["text"] for b in benchmark.collect()})
+    assert places == sum(w[1] > 0 for w in want) >= 9
+    if block > 20_000:
         kept = decontaminate.remove_contaminated(docs, benchmark)
         assert kept.columns == docs.columns and kept.count() == sum(not w[3] for w in want)
 
 
 def test_decontamination_odd_rows(spark):
-    df = odd(spark, n_words=1, item_ids="x", longest_match=2)
+    df = odd(spark, n_words=1, item_ids="x", longest_match=2, match_at="y")
     items = spark.createDataFrame([(1, "twice"), (1, "null id"), (2, "word word word word word word word word word word word word word word")], "item_id long, text string")
     got = decontaminate.contamination(df, items).collect()
     assert len(got) == len(ODD) and {r["longest_match"] for r in got if r["doc_id"] == 0} == {14}
@@ -328,6 +348,19 @@ def test_decontamination_odd_rows(spark):
     assert none.count() == 0 and decontaminate.contamination(df.limit(0), items).count() == 0
 
 
+def test_index_is_bounded(spark):
+    rng = random.Random(1)
+    rows = [(k, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(200))) for k in range(400)]
+    df = spark.createDataFrame(rows, "item_id long, text string")
+    limit = 1 << 20
+    blocks = list(decontaminate._blocks(df, "item_id", "text", limit))
+    assert len(blocks) > 2 and sorted(int(i) for b in blocks for i, _ in b) == list(range(400))
+    for b in blocks:
+        x = decontaminate.build_index(b)
+        size = sum(a.nbytes for a in (x.flat, x.place, x.size, x.item, x.at, x.pair)) + sum(len(w) + 150 for w in x.words)
+        assert size <= 1.2 * limit
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
