@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,10 +57,40 @@ def test_sql_twin(spark):
     assert got == want
 
 
-def test_equal_digests_are_told_apart(monkeypatch):
+def array_of(rules, folder):
+    return urls.DigestArray(urls.DigestArray.write(sorted((urls.digest(*urls.split_rule(r)), r, v) for v, r in rules), str(folder)))
+
+
+def test_equal_digests_are_told_apart(monkeypatch, tmp_path):
     monkeypatch.setattr(urls, "digest", lambda host, path: 7)
-    array = urls.DigestArray.build(urls.RULES)
-    assert [array.rules[j] if j >= 0 else None for j in array.find(["example.org", "com", "net"], ["/es/", "/de/", "/"])] == ["example.org/es/", "com/de/", None]
+    array = array_of(urls.RULES, tmp_path)
+    assert [array.rule(j) if j >= 0 else None for j in array.find(["example.org", "com", "net"], ["/es/", "/de/", "/"])] == ["example.org/es/", "com/de/", None]
+
+
+def test_many_rules_from_a_file(spark, tmp_path):
+    rules = [("block" if k % 3 else "allow", f"h{k % 97}.example.net/p{k}é/") for k in range(3000)]
+    array = array_of(rules, tmp_path)
+    assert (np.diff(array.keys) >= 0).all() and len(list(tmp_path.iterdir())) == 1
+    rows = [(k, f"https://a.h{k % 97}.example.net/p{k}é/x") for k in range(0, 3000, 7)] + [(-1, "https://h5.example.net/p6é/")]
+    pages_ = spark.createDataFrame(rows, "page_id long, url string")
+    table = spark.createDataFrame(rules, "verdict string, rule string")
+    for given in (rules, table):
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(pages_, given).collect()}
+        assert got == {**{k: (rules[k][1], rules[k][0]) for k, _ in rows if k >= 0}, -1: (None, "allow")}
+    joined = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(pages_, table, most=0).collect()}
+    assert joined == got
+
+
+def test_digests_are_sparks(spark):
+    rules = urls._sorted_rules(spark, urls.RULES).collect()
+    assert {r["key"] for r in rules} == {urls.digest(*urls.split_rule(r)) for _, r in urls.RULES}
+
+
+def test_odd_rows(spark, pages):
+    twice = pages.unionByName(pages).withColumn("page_id", F.when(F.col("page_id") % 2 == 0, F.col("page_id")))
+    long = spark.createDataFrame([(1, "http://org/" + "x" * 100_000)], "page_id long, url string")
+    assert urls.judge_urls(twice).count() == urls.judge_urls(twice, spark.createDataFrame(list(urls.RULES), "verdict string, rule string"), most=0).count() == 2 * len(URLS)
+    assert urls.judge_urls(long).first()["rule"] == "org/"
 
 
 def test_no_rules_and_no_rows(spark, pages):
