@@ -25,7 +25,7 @@ from codeloom.llm.common import checkpointed, connected_components, in_batches,
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
 RADIUS = 4
-#: Rows of whole shards that a task searches at once (one larger shard is taken whole).
+#: Rows of whole shards that a task searches at once (a larger shard is taken whole; see ``DENSE_ROWS``).
 BLOCK_ROWS = 60_000
 #: Pairs of query and row that are followed at once.
 WALK_PAIRS = 250_000
@@ -236,7 +236,36 @@ def _dealt(rows: DataFrame, masks: list[int], *order: str) -> DataFrame:
     return rows.withColumn("key", F.explode(keys)).repartition("key").sortWithinPartitions("key", *order)
 
 
-def linked_fingerprints(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+#: Rows beyond which a shard is split further, and blocks that its other bits are split into.
+DENSE_ROWS, DENSE_BLOCKS = 200_000, 4
+
+
+def finer_masks(mask: int, radius: int = RADIUS, more: int = DENSE_BLOCKS) -> list[int]:
+    """Masks on the bits outside ``mask``: of radius + more blocks all choices of ``more``, so that rows within ``radius`` agree on one of them."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    m = radius + more
+    blocks = [sum(1 << b for b in free[len(free) * k // m : len(free) * (k + 1) // m]) for k in range(m)]
+    return [sum(x) for x in combinations(blocks, more)]
+
+
+def _shards(fps: DataFrame, n: int, radius: int, dense: int) -> DataFrame:
+    """(key, fp): the rows of every shard; shards of more than ``dense`` rows are split by their other bits, which loses no link."""
+    masks = block_masks(n, radius)
+    parts = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])
+    rows = fps.select("fp", F.posexplode(parts).alias("i", "part")).select("fp", "i", F.xxhash64("i", "part").alias("key"))
+    if n <= dense:  # no shard can be larger
+        return rows.select("key", "fp")
+    hot = checkpointed(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > dense).select("key", F.lit(True).alias("hot")))
+    count = hot.count()
+    if not count:
+        return rows.select("key", "fp")
+    finer = F.array(*[F.array(*[F.lit(_signed(x)) for x in finer_masks(m, radius)]) for m in masks])
+    split = F.transform(F.get(finer, F.col("i")), lambda x, j: F.xxhash64("key", j, F.col("fp").bitwiseAND(x)))
+    flagged = meet(rows, hot, ["key"], count, "fp", "left")
+    return flagged.select("fp", F.explode(F.when(F.col("hot"), split).otherwise(F.array("key"))).alias("key")).select("key", "fp")
+
+
+def linked_fingerprints(fps: DataFrame, n: int, radius: int = RADIUS, dense: int = DENSE_ROWS) -> DataFrame:
     """(a, b): a spanning set of the links between the distinct fingerprints of ``fps`` (fp long), of which there are ``n``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +274,8 @@ def linked_fingerprints(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFra
             other = label != np.arange(len(label))
             yield pa.RecordBatch.from_arrays([pa.array(fp[other]), pa.array(fp[label[other]])], ["a", "b"])
 
-    return in_batches(_dealt(fps.select("fp"), block_masks(n, radius), "fp").select("key", "fp"), work, "a long, b long")
+    dealt = _shards(fps, n, radius, dense).repartition("key").sortWithinPartitions("key", "fp")
+    return in_batches(dealt, work, "a long, b long")
 
 
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +293,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
 def simhash_components(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``.
 
-    Rows with equal fingerprints form one class; classes link at ``radius`` or
+    Texts of any length are read as a whole; other columns are ignored. Rows with equal fingerprints form one class; classes link at ``radius`` or
     fewer differing bits, and component_id is the smallest doc_id that links
     reach. Null and empty texts share fingerprint 0. Repeated rows stay, each
     with its component; a component whose ids are all null has a null id; an
@@ -274,10 +304,13 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = RADIUS) ->
     n = classes.count()
     masks = len(block_masks(n, radius))
     edges = checkpointed(linked_fingerprints(classes, n, radius).distinct(), n * masks)
-    label = connected_components(edges, edges.count()).select(F.col("node").alias("fp"), "component")
-    of = classes.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = of.join(least, "component").select("fp", "component_id")
+    label = checkpointed(connected_components(edges, edges.count()).select(F.col("node").alias("fp"), "component"), n)
+    linked = classes.join(label, "fp")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = meet(linked.select("fp", "component"), least, ["component"], label.count(), "fp").select("fp", F.struct("component_id").alias("of"))
+    # Written, so that both sides of the last join are dealt anew and a class of many rows can be split.
+    own = F.when(F.col("of").isNotNull(), F.col("of.component_id")).otherwise(F.col("least"))
+    ids = checkpointed(classes.join(linked, "fp", "left").select("fp", own.alias("component_id")), n)
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -582,4 +615,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, least: flo
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document; rules for odd rows as in ``simhash_components``."""
     return simhash_components(table(spark, sf_dir, "documents"))

@@ -177,6 +177,35 @@ def test_masks_cover_every_pair():
             assert any(diff & m == 0 for m in masks)
 
 
+def test_finer_masks_cover_every_pair():
+    rng = np.random.default_rng(1)
+    for mask in simhash.block_masks(10**6):
+        finer = simhash.finer_masks(mask)
+        assert all(not mask & x for x in finer)
+        free = [b for b in range(64) if not mask >> b & 1]
+        for _ in range(20):
+            diff = sum(1 << int(b) for b in rng.choice(free, 4, replace=False))
+            assert any(diff & x == 0 for x in finer)
+
+
+def test_dense_shards_are_split_without_loss(spark):
+    rng = np.random.default_rng(2)
+    roots = rng.integers(0, 2**63, 3).astype(np.uint64)
+    x = np.concatenate([roots[[0]].repeat(900), roots[[1]].repeat(80), rng.integers(0, 2**63, 200).astype(np.uint64)])
+    for _ in range(5):
+        x = x ^ (np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64))
+    x = np.unique(x).view(np.int64)
+    fps = spark.createDataFrame([(int(v),) for v in x], "fp long")
+
+    def groups(dense):
+        label = simhash.linked_fingerprints(fps, len(x), dense=dense)
+        got = {r["node"]: r["component"] for r in connected_components(label, label.count() + 1).collect()}
+        return {v: got.get(v, v) for v in x.tolist()}
+
+    sizes = simhash._shards(fps, len(x), 4, 100).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert groups(10**6) == groups(100) and sizes < simhash._shards(fps, len(x), 4, 10**6).groupBy("key").count().agg(F.max("count")).first()[0] / 2
+
+
 def near(text, every):
     w = text.split()
     return " ".join("changed" if k % every == every - 1 else x for k, x in enumerate(w))
