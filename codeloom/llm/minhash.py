@@ -115,8 +115,9 @@ def fingerprint_edits(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     The edited text is the row's own with its last half replaced by the start
     of the next one's, rows in descending doc_id, of equal ids those of the
     smaller text hash first, null ids last; the first follows the last. A null
-    text counts as empty; a single row is its own next; an empty table gives an
-    empty result.
+    text counts as empty; a single row is its own next; texts of any length are
+    read as a whole; repeated rows stay, each with a next of its own; other
+    columns are ignored; an empty table gives an empty result.
     """
     from pyspark.sql import Window
 
@@ -141,4 +142,5 @@ def fingerprint_edits(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``fingerprint_edits`` says of every document; rules for odd rows as there."""
     return fingerprint_edits(table(spark, sf_dir, "documents"))

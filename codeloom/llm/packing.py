@@ -14,7 +14,6 @@ from codeloom.llm.tokens import LIMIT, token_pieces
 
 #: Pieces that one task packs at once.
 PER_PARTITION = 40_000
-ROUNDS = 4
 
 
 def lower_bound(lengths: np.ndarray, capacity: int, steps: int = 60) -> int:
@@ -102,51 +101,65 @@ def _pack_partitions(items: DataFrame, parts: int, capacity: int, salt: int) ->
     return in_batches(dealt, work, _PACKED)
 
 
-def pack(pieces: DataFrame, capacity: int = LIMIT, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
-    """``pieces`` with sequence_id and offset: sequences of at most ``capacity``, as few as found.
+def pack(pieces: DataFrame, capacity: int = LIMIT, per_partition: int = PER_PARTITION, rounds: int | None = None) -> DataFrame:
+    """``pieces`` with sequence_id, offset and gap: sequences of at most ``capacity``, as few as found.
 
     Whole-capacity pieces are sequences by themselves. The others are dealt to
     partitions of bounded size; each packs by best-fit decreasing and computes
     a lower bound. A partition that meets its bound is done. The open bins of
-    the others exchange their pieces through a new deal and are packed again;
-    a deal that saves no bin is dropped. ``pieces`` needs a column length (1 to
-    ``capacity``); every row gets its place, repeated rows included; an empty
-    table gives an empty result.
+    the others exchange their pieces through a new deal and are packed again,
+    until no gap is left or a deal saves no bin, which is then dropped;
+    ``rounds`` limits the deals where it is given. gap says by how many bins
+    the partition that packed the row's sequence is above its lower bound: 0 is
+    a certificate that no packing of these pieces needs fewer. ``pieces`` needs
+    a column length (1 to ``capacity``); columns of the result's names are
+    replaced; every row gets its place, repeated rows included; an empty table
+    gives an empty result.
     """
-    known = checkpointed(pieces.withColumn("uid", F.monotonically_increasing_id()))
-    small = known.where(F.col("length") < capacity).select("uid", "length")
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset", "gap")]
+    known = checkpointed(pieces.select(*names).withColumn("__uid", F.monotonically_increasing_id()))
+    small = known.where(F.col("length") < capacity).select(F.col("__uid").alias("uid"), "length")
     n = small.count()
     if not n:
-        return known.withColumn("sequence_id", F.col("uid")).withColumn("offset", F.lit(0).cast("long")).drop("uid")
+        none = F.lit(0).cast("long")
+        return known.select(*names, F.col("__uid").alias("sequence_id"), none.alias("offset"), none.alias("gap"))
     done: list[DataFrame] = []
     state = checkpointed(_pack_partitions(small, max(1, -(-n // per_partition)), capacity, 0))
-    for salt in range(1, rounds + 1):
+    deal = 0
+    while rounds is None or deal < rounds:
+        deal += 1
         is_open = (F.col("gap") > 0) & (F.col("room") > 0)
         pool = state.where(is_open)
         size, bins = pool.agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
         if not size:
             break
-        again = checkpointed(_pack_partitions(pool, max(1, -(-size // per_partition)), capacity, salt))
+        again = checkpointed(_pack_partitions(pool, max(1, -(-size // per_partition)), capacity, deal))
         now = again.agg(F.count(F.when(F.col("offset") == 0, 1))).first()[0]
         if now >= bins:
             break
+        # Full bins of a partition with a gap keep it: no bound speaks for them alone.
         done.append(state.where(~is_open))
         state = again
     placed = state
     for d in done:
         placed = placed.unionByName(d)
-    placed = placed.select("uid", F.col("bin").alias("sequence_id"), "offset")
-    out = known.join(placed, "uid", "left")
-    return out.withColumn("sequence_id", F.coalesce("sequence_id", "uid")).withColumn("offset", F.coalesce("offset", F.lit(0).cast("long"))).drop("uid")
+    placed = placed.select(F.col("uid").alias("__uid"), F.col("bin").alias("__bin"), F.col("offset").alias("__offset"), F.col("gap").alias("__gap"))
+    zero = F.lit(0).cast("long")
+    out = known.join(placed, "__uid", "left")
+    return out.select(*names, F.coalesce("__bin", "__uid").alias("sequence_id"), F.coalesce("__offset", zero).alias("offset"), F.coalesce("__gap", zero).alias("gap"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = LIMIT, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap) of every piece of every document.
 
-    A null or empty text is the end id alone: one piece of length 1.
+    A null or empty text is the end id alone: one piece of length 1. Rows that
+    repeat a document are packed again; ids may be null; long texts are cut at
+    ``capacity`` alone; other columns are ignored; an empty table gives an
+    empty result. gap is that of ``pack``.
     """
     return pack(token_pieces(docs, capacity, vocabulary), capacity)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap) of every document's pieces; rules for odd rows as in ``pack_documents``."""
     return pack_documents(table(spark, sf_dir, "documents"))

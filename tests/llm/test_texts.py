@@ -144,7 +144,7 @@ def check_packing(rows, capacity):
 def test_packing(spark, docs, library):
     rows = packing.pack_documents(docs, 256).collect()
     bins = check_packing(rows, 256)
-    assert bins == packing.lower_bound(np.array([r["length"] for r in rows]), 256)
+    assert bins == packing.lower_bound(np.array([r["length"] for r in rows]), 256) and {r["gap"] for r in rows} == {0}
     for r in docs.limit(30).collect():
         ids = [*library.encode(r["text"], add_special_tokens=False).ids, 0]
         own = sorted((p["piece"], p["start"], p["length"], p["ids_crc32"]) for p in rows if p["doc_id"] == r["doc_id"])
@@ -163,7 +163,10 @@ def test_partitions_exchange(spark):
     sizes = [rng.randint(1, 99) for _ in range(600)] + [100] * 5
     df = spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "piece long, length long")
     loose = check_packing(packing.pack(df, 100, per_partition=50, rounds=0).collect(), 100)
-    tight = check_packing(packing.pack(df, 100, per_partition=50).collect(), 100)
+    rows = packing.pack(df, 100, per_partition=50).collect()
+    tight = check_packing(rows, 100)
+    certified = [r["length"] for r in rows if r["gap"] == 0]
+    assert certified and {r["gap"] for r in rows if r["length"] == 100} == {0}
     assert packing.lower_bound(np.array(sizes), 100) <= tight <= loose
 
 
