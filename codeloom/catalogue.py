@@ -63,15 +63,19 @@ def _rid() -> Column:
 
 def inference() -> ExpressionInference:
     r = F.pmod(_rid() * 31 + F.col("edge_id") * 17, F.lit(10))
-    body = F.concat(F.lit("E"), F.col("edge_id").cast("string"), F.lit(":"), F.substring("seed_code", 1, 40))
+    body = F.concat(F.lit("E"), F.col("edge_id").cast("string"), F.lit(":"), F.col("seed_code"))
     fenced = F.concat(F.lit("```python\n"), body, F.lit("\n```"))
     return ExpressionInference(F.when(r == 1, body).otherwise(fenced), r != 0)
 
 
 def execution() -> ExpressionExecution:
-    n = _rid() + F.col("edge_id") + F.col("test_idx")
-    output = F.when(n % 13 == 0, TIMEOUT_MARK).when((_rid() + F.col("edge_id") * 3 + F.col("test_idx")) % 4 != 0, "ok").otherwise("bad")
-    return ExpressionExecution(output, (n % 11 != 0) & (n % 13 != 0))
+    def place(ask, times: int = 1) -> Column:
+        return ask("request_id").cast("long") + ask("edge_id") * times + ask("test_idx")
+
+    def output(ask) -> Column:
+        return F.when(place(ask) % 13 == 0, TIMEOUT_MARK).when(place(ask, 3) % 4 != 0, "ok").otherwise("bad")
+
+    return ExpressionExecution(output, lambda ask: (place(ask) % 11 != 0) & (place(ask) % 13 != 0))
 
 
 def _toct(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -116,7 +120,7 @@ step AS (SELECT p.request_id, p.path_rank, t.edge_id, t.level - 1 AS edge_pos FR
 seen AS (SELECT *, row_number() OVER (PARTITION BY request_id, edge_id ORDER BY path_rank) > 1 AS again FROM step)
 """
 )
-_BODY_SQL = "'E' || edge_id || ':' || substr(text, 1, 40)"
+_BODY_SQL = "'E' || edge_id || ':' || text"
 _TRIMMED = r"regexp_replace({}, '^[ \t\r\n\f\v]+|[ \t\r\n\f\v]+$', '', 'g')"
 _TRY = (
     """SELECT *, (rid * 31 + edge_id * 17) % 10 AS r,

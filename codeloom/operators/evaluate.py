@@ -14,7 +14,7 @@ from codeloom.config import ConfigError, EngineConfig
 from codeloom.functions.chat import request_body
 from codeloom.functions.text import extract_code, inference_key, lookup, render_prompt
 from codeloom.operators.cache import EXECUTION_VALUES, INFERENCE_VALUES, Stores, through_cache
-from codeloom.operators.testing import EDGE_KEY, checked_suites, execute, fold_tests, fuzzy_runs, tested_status, unit_runs, with_programs, with_verdicts
+from codeloom.operators.testing import EDGE_KEY, checked_suites, execute, fold_tests, fuzzy_runs, tested_in_row, tested_status, unit_runs, with_programs, with_verdicts
 from codeloom.plans.planner import plan_edges, plan_path_edges
 from codeloom.runtime import checkpointed
 from codeloom.schemas import DEAD, FOUND, FUZZY_RESULT, NO_EXTRACTED, NO_INFERENCE, PARENT_FAILED, SKIPPED_FOUND, TRANSLATED, UNIT_RESULT
@@ -68,34 +68,50 @@ def extract(edges: DataFrame, config: EngineConfig) -> DataFrame:
     return edges.withColumn("extracted", ok.otherwise(missing.cast("boolean"))).withColumn("code", code.otherwise(missing.cast("string")))
 
 
-def attempt(edges: DataFrame, inference, execution, config: EngineConfig, stores: Stores | None = None, extra: bool = False, unit_by_language: bool = True) -> DataFrame:
-    """Live edges carried through all steps to a status.
+def in_row(inference, execution, config: EngineConfig) -> bool:
+    """Whether edges can be evaluated row by row: both providers are expressions, and no program is rewritten by Python."""
+    return not inference.keyed and not execution.keyed and getattr(execution, "in_row", False) and not config.transcoder_format
+
+
+def _early(config: EngineConfig) -> Column:
+    """The status of an edge that is not tested."""
+    return (
+        F.when(~F.col("inference_ok"), NO_INFERENCE)
+        .when(~F.col("extracted"), NO_EXTRACTED)
+        .when(F.lit(not config.verify_intermediates) & (F.col("target_language") != F.col("final_target")), TRANSLATED)
+    )
+
+
+def attempt(edges: DataFrame, inference, execution, config: EngineConfig, stores: Stores | None = None, extra: bool = False, unit_by_language: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Live edges carried through all steps to a status, with the columns ``carry`` beside.
 
     ``edges`` has the tree's columns, source_code and the request's parts.
     Tests run only where the final target is reached, unless intermediate
     translations are verified as well. ``stores`` answer what they know and
-    keep what is new.
+    keep what is new. Expressions are evaluated within the row.
     """
     stores = stores or Stores()
     prompted = with_prompts(edges, config, extra)
     answered = infer(prompted, inference, config, stores.known(stores.inference, config.use_inference_cache))
     got = extract(answered, config).withColumnRenamed("wall_ms", "wall_inference_ms")
+    got = got.withColumn("early", _early(config)).withColumn("code", F.when(F.col("inference_ok"), F.col("code")).otherwise(""))
     at_target = F.col("target_language") == F.col("final_target")
-    early = (
-        F.when(~F.col("inference_ok"), NO_INFERENCE)
-        .when(~F.col("extracted"), NO_EXTRACTED)
-        .when(F.lit(not config.verify_intermediates) & ~at_target, TRANSLATED)
-    )
-    got = got.withColumn("early", early).withColumn("code", F.when(F.col("inference_ok"), F.col("code")).otherwise(""))
-    if inference.keyed:
+    live = F.col("early").isNull()
+    if in_row(inference, execution, config):
+        out = tested_in_row(got, execution, unit_by_language)
+        out = out.withColumns({c: F.when(live, F.col(c)) for c in ("all_passed", "first_event", "wall_test_ms", "fuzzy_tests", "unit_tests")})
+    else:
+        # Providers without a key answer once, as those with one do: what they said is tested and joined back.
         got = checkpointed(got)
-        fresh = got.where(~F.col("cache_hit")).select(F.col("call_key").alias("key"), "response", "inference_ok", F.col("wall_inference_ms").alias("wall_ms"))
-        stores.keep(stores.inference, fresh if config.cache_failures else fresh.where("inference_ok"))
-    tested = test_edges(got.where("early is null"), execution, config, stores, unit_by_language)
-    out = got.join(tested, list(EDGE_KEY), "left")
+        if inference.keyed:
+            fresh = got.where(~F.col("cache_hit")).select(F.col("call_key").alias("key"), "response", "inference_ok", F.col("wall_inference_ms").alias("wall_ms"))
+            stores.keep(stores.inference, fresh if config.cache_failures else fresh.where("inference_ok"))
+        tested = test_edges(got.where(live), execution, config, stores, unit_by_language)
+        out = got.join(tested, list(EDGE_KEY), "left")
     status = F.coalesce("early", tested_status(F.col("all_passed"), F.col("first_event"), at_target))
     none = lambda name, kind: F.coalesce(name, F.expr(f"cast(array() as array<{kind}>)")).alias(name)
     return out.select(
+        *carry,
         *TREE,
         "prompt_template",
         "prompt",
@@ -122,13 +138,68 @@ def test_edges(edges: DataFrame, execution, config: EngineConfig, stores: Stores
     return fold_tests(with_verdicts(done, config.transcoder_format))
 
 
+def _blank() -> dict[str, Column]:
+    """Results of an edge that was never tried."""
+    text = {n: F.lit("") for n in ("prompt_template", "prompt", "source_code", "inference_output", "extracted_source_code")}
+    empty = {"fuzzy_tests": F.expr(f"cast(array() as array<{FUZZY_RESULT}>)"), "unit_tests": F.expr(f"cast(array() as array<{UNIT_RESULT}>)")}
+    return {**text, **empty, "wall_inference_ms": F.lit(0).cast("long"), "wall_test_ms": F.lit(0).cast("long"), "used_inference_cache": F.lit(False)}
+
+
 def _skipped(edges: DataFrame, status: Column | str) -> DataFrame:
     """Edges that were never tried, with a status and empty results."""
     s = F.lit(status) if isinstance(status, str) else status
-    text = {n: F.lit("") for n in ("prompt_template", "prompt", "source_code", "inference_output", "extracted_source_code")}
-    empty = {"fuzzy_tests": F.expr(f"cast(array() as array<{FUZZY_RESULT}>)"), "unit_tests": F.expr(f"cast(array() as array<{UNIT_RESULT}>)")}
-    numbers = {"wall_inference_ms": F.lit(0).cast("long"), "wall_test_ms": F.lit(0).cast("long"), "used_inference_cache": F.lit(False)}
-    return edges.withColumns({"status": s, **text, **empty, **numbers}).select(*RESULT)
+    return edges.withColumns({"status": s, **_blank()}).select(*RESULT)
+
+
+def _tree_in_row(requests: DataFrame, edges: DataFrame, inference, execution, config: EngineConfig) -> DataFrame:
+    """``evaluate_tree`` for expressions: a request's planned edges travel in its row, and each level explodes the children of the last.
+
+    Texts are dealt and written once, with the request; a level is a chain of
+    projections, so columns that nobody asks for are never made.
+    """
+    slim = F.struct("edge_id", "parent_edge_id", "level", "input_language", "target_language", "final_target")
+    listed = edges.groupBy("request_id").agg(F.collect_list(slim).alias("edges"))
+    parts = requests.select(F.col("id").alias("request_id"), *REQUEST_PARTS)
+    base = checkpointed(parts.join(listed, "request_id"))
+    kept = ("request_id", *REQUEST_PARTS, "edges")
+    carry = tuple(c for c in kept if c != "request_id")
+
+    def grown(rows: DataFrame, which, *more: Column) -> DataFrame:
+        """A row for each edge of ``which``, with its source."""
+        return rows.select(*kept, *more, F.explode(F.filter("edges", which)).alias("e")).select(*kept, "source_code", "blocked", "e.*")
+
+    def tried(rows: DataFrame) -> DataFrame:
+        done = attempt(rows, inference, execution, config, carry=(*carry, "blocked"))
+        blank = {"status": F.col("blocked"), **_blank()}
+        return done.select(*carry, *[F.when(F.col("blocked").isNotNull(), blank[c]).otherwise(F.col(c)).alias(c) if c in blank else F.col(c) for c in RESULT])
+
+    no_block = F.lit(None).cast("string").alias("blocked")
+    seed = F.col("seed_code").alias("source_code")
+    is_direct = lambda e: (e["level"] == 1) & (e["target_language"] == e["final_target"])
+    results: list[DataFrame] = []
+    if config.early_stop == "direct":
+        direct = mask_after_found(tried(grown(base, is_direct, seed, no_block)), "edge_id", descending=True)
+        results.append(direct.select(*RESULT))
+        found = checkpointed(direct.where(F.col("status") == FOUND).select("request_id").distinct())
+        others = edges.where("not (level = 1 and target_language = final_target)")
+        results.append(_skipped(others.join(found, "request_id", "left_semi"), SKIPPED_FOUND))
+        base = base.join(found, "request_id", "left_anti")
+        level = tried(grown(base, lambda e: (e["level"] == 1) & ~is_direct(e), seed, no_block))
+    else:
+        level = tried(grown(base, lambda e: e["level"] == 1, seed, no_block))
+    results.append(level.select(*RESULT))
+    for _ in range(2, config.depth + 1):
+        blocked = F.when(F.col("status").isin(*DEAD), PARENT_FAILED).when(F.col("status") == SKIPPED_FOUND, SKIPPED_FOUND)
+        if config.early_stop == "any":
+            won = F.max(F.col("status").isin(FOUND, SKIPPED_FOUND).cast("int")).over(Window.partitionBy("request_id")) == 1
+            level = level.withColumn("__won", won)
+            blocked = F.when(F.col("__won"), SKIPPED_FOUND).otherwise(blocked)
+        level = tried(grown(level.withColumn("__edge", F.col("edge_id")), lambda e: e["parent_edge_id"] == F.col("__edge"), F.col("extracted_source_code").alias("source_code"), blocked.alias("blocked")))
+        results.append(level.select(*RESULT))
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 def evaluate_tree(requests: DataFrame, edges: DataFrame, inference, execution, config: EngineConfig, stores: Stores | None = None) -> DataFrame:
@@ -138,6 +209,8 @@ def evaluate_tree(requests: DataFrame, edges: DataFrame, inference, execution, c
     and plans do not grow with the depth.
     """
     edges = edges.where("reaches")
+    if in_row(inference, execution, config):
+        return _tree_in_row(requests, edges, inference, execution, config)
     parts = requests.select(F.col("id").alias("request_id"), *REQUEST_PARTS)
 
     def tried(live: DataFrame) -> DataFrame:

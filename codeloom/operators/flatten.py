@@ -41,7 +41,7 @@ def _fields(struct: str) -> list[str]:
 
 
 def nest(requests: DataFrame, edges: DataFrame, path_edges: DataFrame) -> DataFrame:
-    """(translation_request, paths) of every request, in order of its id; a request without paths keeps an empty list.
+    """(translation_request, paths) of every request; a request without paths keeps an empty list. Sort by id where responses are handed out.
 
     A path's edges and a request's paths are collected, both bounded by the
     planned tree of one request.
@@ -54,7 +54,7 @@ def nest(requests: DataFrame, edges: DataFrame, path_edges: DataFrame) -> DataFr
     whole = conform(requests, REQUEST)
     joined = whole.join(listed, whole["id"] == listed["request_id"], "left")
     nested = F.coalesce(F.transform("ranked", lambda p: p["path"]), F.expr(f"cast(array() as array<{PATH}>)"))
-    return joined.select(F.struct(*whole.columns).alias("translation_request"), nested.alias("paths")).orderBy("translation_request.id")
+    return joined.select(F.struct(*whole.columns).alias("translation_request"), nested.alias("paths"))
 
 
 def flatten(responses: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import threading
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -150,17 +150,35 @@ class HttpInference:
         return None, _ms(began)
 
 
+#: A column of a run by its name.
+Ask = Callable[[str], Column]
+
+
 @dataclass
 class ExpressionExecution:
-    """Outcomes that are expressions of a run's columns."""
+    """Outcomes that are expressions of a run's columns.
 
-    output: Column
-    ok: Column = field(default_factory=lambda: F.lit(True))
-    wall_ms: Column = field(default_factory=lambda: F.lit(0))
+    An expression is a column, or a function that is given ``ask`` and gets the
+    run's columns from it by name. Functions alone let an edge's tests stay an
+    array of its row.
+    """
+
+    output: Column | Callable[[Ask], Column]
+    ok: Column | Callable[[Ask], Column] = lambda ask: F.lit(True)
+    wall_ms: Column | Callable[[Ask], Column] = lambda ask: F.lit(0)
     keyed: bool = False
 
+    @property
+    def in_row(self) -> bool:
+        return all(not isinstance(x, Column) for x in (self.output, self.ok, self.wall_ms))
+
+    def outcome(self, ask: Ask) -> tuple[Column, Column, Column]:
+        """(output, exit_ok, wall_ms) of a run."""
+        output, ok, wall = (x if isinstance(x, Column) else x(ask) for x in (self.output, self.ok, self.wall_ms))
+        return F.coalesce(output, F.lit("")), F.coalesce(ok, F.lit(False)), wall.cast("long")
+
     def execute(self, runs: DataFrame) -> DataFrame:
-        return runs.withColumns({"output": F.coalesce(self.output, F.lit("")), "exit_ok": F.coalesce(self.ok, F.lit(False)), "wall_ms": self.wall_ms.cast("long")})
+        return runs.withColumns(dict(zip(("output", "exit_ok", "wall_ms"), self.outcome(F.col), strict=True)))
 
 
 @dataclass

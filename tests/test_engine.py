@@ -274,7 +274,7 @@ def test_round_trip_through_files(spark, tmp_path):
     rows = io.requests_from_rows(spark, [request("b"), request("a", target="Cobol")])
     infer = providers.ExpressionInference(F.lit("```x```"))
     edges, steps = evaluate.translate(rows, infer, providers.ExpressionExecution(F.lit("ABC")), CONFIG.with_(depth=2))
-    nested = flatten.nest(rows, edges, steps)
+    nested = flatten.nest(rows, edges, steps).orderBy("translation_request.id")
     assert [r["translation_request"]["id"] for r in nested.collect()] == ["a", "b"]
     io.save(nested, str(tmp_path), "out", 3)
     again = io.read_responses(spark, str(tmp_path / "out.json"))
