@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpointed, connected_components, in_batches, meet, table, text_or_empty
+from codeloom.llm.common import SENT_ROWS, checkpointed, connected_components, in_batches, meet, table, text_or_empty
 
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
@@ -443,9 +443,10 @@ def _alike(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, le
             got = [_shingle_set(words_of(x), width).tobytes() for x in b.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(got, pa.binary())], ["node", "shingles"])
 
-    # Rows that repeat an id and a text are one document.
     texts = meet(_rows(docs), named, ["doc_id", "blob"], count, "blob").select("node", "data")
-    known = checkpointed(in_batches(texts, sets, "node long, shingles binary").dropDuplicates(["node"]), count)
+    known = checkpointed(in_batches(texts, sets, "node long, shingles binary"), count)
+    if known.count() > count:  # rows that repeat an id and a text are one document
+        known = checkpointed(known.dropDuplicates(["node"]), count)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -473,7 +474,7 @@ def _common_shingles(docs: DataFrame, n: int, width: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, seed: int, common: np.ndarray, width: int, least: float) -> DataFrame:
-    """(node, size, keys): the first shingles of each class's set, rarest first.
+    """(node, size, keys): the first shingles of each text's set, rarest first.
 
     Sets of a likeness of ``least`` or more share one of these: all but
     ceil(least * size) - 1 shingles, in one order for all texts. Keys are the
@@ -497,23 +498,48 @@ def _prefixes(docs: DataFrame, seed: int, common: np.ndarray, width: int, least:
                 keys.append((h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1] >> np.uint64(24)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "keys"])
 
-    return in_batches(_rows(docs).select("data"), work, "node long, size int, keys array<long>").dropDuplicates(["node"])
+    return in_batches(docs.select(text_or_empty().cast("binary").alias("data")), work, "node long, size int, keys array<long>")
 
 
-def _sharing(prefixes: DataFrame, least: float) -> DataFrame:
-    """(a, b): classes of ``prefixes`` (node, of, size, keys) that share a key, differ in ``of`` and can reach ``least`` by their sizes and the key's places.
+def _firsts(docs: DataFrame, marks: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """``docs`` without the rows that are not the first of their class, as far as a table of bounded size can tell; others may stay."""
+    several = classes.where("n > 1").select("node", "rep")
+    copies = meet(marks.select("doc_id", "blob", "node"), several, ["node"], several.count(), "blob").where(F.struct("doc_id", "blob") != F.col("rep"))
+    copies = checkpointed(copies.select("doc_id", "blob").distinct(), n)
+    count = copies.count()
+    rows = docs.withColumn("blob", F.unhex(F.md5(text_or_empty().cast("binary"))))
+    return meet(rows, copies, ["doc_id", "blob"], count, "blob", "left_anti") if count <= SENT_ROWS else docs
 
-    Rows are sorted by key and ``of``, and a row meets only those of its key
-    after its own ``of``: a large group costs nothing within itself.
+
+#: Pairs of one key beyond which its rows first meet the next few alone, and how many these are.
+HOT_PAIRS, NEXT_ROWS = 2000, 4
+
+
+def _sharing(rows: DataFrame, least: float, whole: bool) -> DataFrame:
+    """(a, b, key, size, at) from ``rows`` (key, of, node, size, at), one for each class and key.
+
+    Rows without a key are pairs: classes that share a key, differ in ``of``
+    and can reach ``least`` by their sizes and the key's places. Rows are
+    sorted by key and ``of``, and a row meets only those of its key after its
+    own ``of``: a large group costs nothing within itself. Unless ``whole``,
+    rows of a key with very many pairs meet only the next few and come back
+    with their key (a is the class), to meet the others once these are linked.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["a", "b", "key", "size", "at"], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         for key, of, ids, size, at in _by_shard(batches, ("key", "of", "node", "size", "at")):
             n = len(key)
             new_key = key[1:] != key[:-1]
             ends = lambda new, n=n: np.append(np.flatnonzero(new) + 1, n)[np.concatenate([[0], np.cumsum(new)])]
             first = ends(new_key | (of[1:] != of[:-1]))
             count = ends(new_key) - first
+            if not whole:
+                group = np.concatenate([[0], np.cumsum(new_key)])
+                hot = np.bincount(group, count)[group] > HOT_PAIRS
+                count = np.where(hot, np.minimum(count, NEXT_ROWS), count)
+                if hot.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids[hot], ids[hot], key[hot], size[hot], at[hot]), kinds, strict=True)], names)
             rows = np.flatnonzero(count)
             total = np.cumsum(count[rows])
             cuts = np.unique(np.searchsorted(total, np.arange(0, int(total[-1]) if len(total) else 0, WALK_PAIRS)[1:])).tolist()
@@ -527,34 +553,51 @@ def _sharing(prefixes: DataFrame, least: float) -> DataFrame:
                 if not ok.any():
                     continue
                 pair = np.unique(np.stack([np.maximum(ids[x[ok]], ids[y[ok]]), np.minimum(ids[x[ok]], ids[y[ok]])]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+                none = [pa.nulls(pair.shape[1], k) for k in kinds[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), *none], names)
 
-    rows = prefixes.select("node", "of", "size", F.posexplode("keys").alias("at", "key"))
     dealt = rows.repartition("key").sortWithinPartitions("key", "of").select("key", "of", "node", "size", "at")
-    return in_batches(dealt, work, "a long, b long").distinct()
+    return in_batches(dealt, work, "a long, b long, key long, size int, at int")
+
+
+def _merged(label: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """``label`` (node, component) with the components joined that ``links`` (a, b: nodes) connect; at most ``n`` rows."""
+    of = label.withColumnRenamed("component", "of")
+    for end in ("a", "b"):
+        links = links.withColumnRenamed(end, "node").join(of, "node", "left").withColumn(end, F.coalesce("of", "node")).drop("node", "of").distinct()
+    links = checkpointed(links, n)
+    tops = connected_components(links, max(1, links.count())).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    # A component's smallest node is a node of ``label`` only if it has links of its own.
+    alone = tops.select(F.col("component").alias("node")).join(label.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    return checkpointed(label.unionByName(alone).join(tops, "component", "left").select("node", F.coalesce("top", "component").alias("component")), n)
 
 
-def _joined(docs: DataFrame, classes: DataFrame, n: int, seed: int, label: DataFrame, width: int, least: float) -> DataFrame:
+def _joined(docs: DataFrame, marks: DataFrame, classes: DataFrame, n: int, seed: int, label: DataFrame, width: int, least: float) -> DataFrame:
     """``label`` (node, component) with the components linked that hold alike classes; no such pair is left out.
 
-    Only classes of different components are compared.
+    Only classes of different components are compared. Keys that very many of
+    them share are taken twice: first each class meets a few others, which
+    draws large groups together, then what is still apart meets.
     """
+    def checked(found: DataFrame) -> DataFrame:
+        pairs = checkpointed(_can_be_alike(found.where("key is null").select("a", "b").distinct(), classes, least))
+        return label if pairs.isEmpty() else _merged(label, _alike(pairs, docs, classes, width, least), n)
+
     some = label.count()
     of = label.withColumnRenamed("component", "of")
-    component = F.coalesce("of", "node").alias("of")
-    prefixes = meet(_prefixes(docs, seed, _common_shingles(docs, n, width), width, least), of, ["node"], some, "node", "left").select("node", component, "size", "keys")
-    pairs = checkpointed(_can_be_alike(checkpointed(_sharing(prefixes, least)), classes, least))
-    found = pairs.count()
-    if not found:
+    own = F.coalesce("of", "node").alias("of")
+    prefixes = _prefixes(_firsts(docs, marks, classes, n), seed, _common_shingles(docs, n, width), width, least)
+    if n - classes.count() > SENT_ROWS:
+        prefixes = prefixes.dropDuplicates(["node"])
+    prefixes = meet(prefixes, of, ["node"], some, "node", "left")
+    rows = prefixes.select("node", own, "size", F.posexplode("keys").alias("at", "key"))
+    found = checkpointed(_sharing(rows, least, False).distinct())
+    label = checked(found)
+    hot = found.where("key is not null").select(F.col("a").alias("node"), "key", "size", "at")
+    if hot.isEmpty():
         return label
-    links = _alike(pairs, docs, classes, width, least)
-    for end in ("a", "b"):
-        links = links.withColumnRenamed(end, "node").join(of, "node", "left").withColumn(end, F.coalesce("of", "node")).drop("node", "of")
-    links = checkpointed(links.distinct(), found)
-    merged = connected_components(links, max(1, links.count())).select(F.col("node").alias("component"), F.col("component").alias("top"))
-    # A component's smallest node is a node of ``label`` only if it has links of its own.
-    alone = merged.select(F.col("component").alias("node")).join(label.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
-    return checkpointed(label.unionByName(alone).join(merged, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+    rows = hot.join(label.withColumnRenamed("component", "of"), "node", "left").select("key", own, "node", "size", "at")
+    return checked(checkpointed(_sharing(rows, least, True).distinct()))
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: float = LIKENESS) -> DataFrame:
@@ -581,7 +624,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: fl
     pairs = checkpointed(_can_be_alike(pairs, classes, least), n)
     links = checkpointed(_alike(pairs, docs, classes, width, least).distinct(), n)
     label = checkpointed(connected_components(links, max(1, links.count())), n)
-    label = _joined(docs, classes, n, seed, label, width, least)
+    label = _joined(docs, marks, classes, n, seed, label, width, least)
     # What says more than that a document is alone: linked classes with their group's first document, and classes of several rows.
     linked = checkpointed(classes.select("node", "rep").join(label, "node"), n)
     first = linked.groupBy("component").agg(F.min("rep").alias("first"))

@@ -262,6 +262,43 @@ def test_classes_unlike_the_leader_of_their_fingerprint(spark):
     assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4}
 
 
+def test_hot_keys_lose_nothing(spark, monkeypatch):
+    """A large group that the first search leaves apart, and pairs that share a hot key without being alike."""
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(simhash, "HOT_PAIRS", 20)
+    monkeypatch.setattr(simhash, "_candidates", lambda leaders, n: spark.createDataFrame([], "a long, b long"))
+    line = [f"c{k}" for k in range(12)]
+    rows = []
+    for i in range(120):
+        words = list(line * 4) + [f"t{k}" for k in range(40)]
+        words[int(rng.integers(len(words)))] = f"e{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join([f"u{i}x{k}" for k in range(30)] + line)) for i in range(60)]
+    rows += [(2000 + i, " ".join([f"u{i}x{k}" for k in range(30)] + line + ["end"])) for i in range(0, 60, 3)]
+    sets = {i: shingles(t) for i, t in rows}
+    top = {i: i for i in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if j < i and jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == {i: find(i) for i in sets}
+
+
+def test_documents_of_one_id_and_ids_of_any_type(spark):
+    rows = [("b", "one two three four five six"), ("b", "seven eight nine ten eleven twelve"), ("a", "one two three four five six"), ("c", "seven eight nine ten eleven twelve"), ("c", "seven eight nine ten eleven twelve")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("more", F.monotonically_increasing_id())
+    kept = sorted((r["doc_id"], r["text"][:3]) for r in simhash.drop_near_duplicates(df).collect())
+    assert kept == [("a", "one"), ("b", "sev")]
+
+
 def test_connected_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 99)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges, 41).collect()}
