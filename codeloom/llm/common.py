@@ -100,7 +100,7 @@ def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 #: Rows of a table that is sent to every executor at most; larger ones meet their partner by a shuffle.
-SENT_ROWS = 500_000
+SENT_ROWS = 200_000
 #: Copies of the other side over which the rows of one key are spread in such a shuffle.
 SALTS = 16
 
