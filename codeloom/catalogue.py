@@ -7,16 +7,19 @@ replay them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.config import FENCE, EngineConfig
 from codeloom.functions import chat, code, text
-from codeloom.operators import cache, evaluate, flatten, metrics, testing
+from codeloom.operators import cache, evaluate, flatten, metrics, service, testing
 from codeloom.plans import planner
+from codeloom.runtime import SharedFolder, shared_folder
 from codeloom.schemas import REQUEST, TIMEOUT_MARK, conform
+from codeloom.sources import io
 from codeloom.sources.io import language_pair
 from codeloom.sources.providers import ExpressionExecution, ExpressionInference
 from codeloom.streaming import jobs
@@ -145,9 +148,9 @@ used AS (SELECT t.* FROM tree t WHERE t.dst = t.target OR t.level < 3),
 tried AS ({_TRY} FROM used),
 own AS (SELECT *, {_OWN} AS own FROM tried),
 won AS (SELECT request_id FROM own WHERE level = 1 AND dst = target AND own = 'TRANSLATION_FOUND'),
-s1 AS (SELECT o.*, CASE WHEN dst <> target AND request_id IN (SELECT request_id FROM won) THEN 'SKIPPED_TRANSLATION_FOUND' ELSE own END AS status FROM own o WHERE level = 1),
-s2 AS (SELECT o.*, CASE WHEN p.status = 'SKIPPED_TRANSLATION_FOUND' THEN p.status WHEN p.status = 'SKIPPED_PARENT_FAILED' OR p.status LIKE 'FAILED%' THEN 'SKIPPED_PARENT_FAILED' ELSE o.own END AS status FROM own o JOIN s1 p ON o.request_id = p.request_id AND o.parent_id = p.edge_id WHERE o.level = 2),
-s3 AS (SELECT o.*, CASE WHEN p.status = 'SKIPPED_TRANSLATION_FOUND' THEN p.status WHEN p.status = 'SKIPPED_PARENT_FAILED' OR p.status LIKE 'FAILED%' THEN 'SKIPPED_PARENT_FAILED' ELSE o.own END AS status FROM own o JOIN s2 p ON o.request_id = p.request_id AND o.parent_id = p.edge_id WHERE o.level = 3),
+s1 AS (SELECT o.*, o.text AS source, CASE WHEN dst <> target AND request_id IN (SELECT request_id FROM won) THEN 'SKIPPED_TRANSLATION_FOUND' ELSE own END AS status FROM own o WHERE level = 1),
+s2 AS (SELECT o.*, p.code AS source, CASE WHEN p.status = 'SKIPPED_TRANSLATION_FOUND' THEN p.status WHEN p.status = 'SKIPPED_PARENT_FAILED' OR p.status LIKE 'FAILED%' THEN 'SKIPPED_PARENT_FAILED' ELSE o.own END AS status FROM own o JOIN s1 p ON o.request_id = p.request_id AND o.parent_id = p.edge_id WHERE o.level = 2),
+s3 AS (SELECT o.*, p.code AS source, CASE WHEN p.status = 'SKIPPED_TRANSLATION_FOUND' THEN p.status WHEN p.status = 'SKIPPED_PARENT_FAILED' OR p.status LIKE 'FAILED%' THEN 'SKIPPED_PARENT_FAILED' ELSE o.own END AS status FROM own o JOIN s2 p ON o.request_id = p.request_id AND o.parent_id = p.edge_id WHERE o.level = 3),
 done AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3),
 flat AS (SELECT d.*, s.path_rank, s.edge_pos, s.again OR d.status = 'SKIPPED_TRANSLATION_FOUND' AS memoized FROM seen s JOIN done d ON s.request_id = d.request_id AND s.edge_id = d.edge_id)
 """
@@ -219,12 +222,80 @@ def transcoder_verdict(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", text.count_verdict(output).alias("passed"))
 
 
-@query("SELECT doc_id, 'class A { }' || chr(10) || substr(text, 1, 100) AS code FROM documents")
+@query(r"SELECT doc_id, 'class A { }' || chr(10) || regexp_replace(text, 'public\s+class\s+\w+', 'class A', 'g') AS code FROM documents")
 def java_class_normalise(spark, sf_dir):
-    source = F.concat(F.lit("public  class Foo"), F.col("doc_id").cast("string"), F.lit(" { }\n"), F.substring("text", 1, 100))
+    source = F.concat(F.lit("public  class Foo"), F.col("doc_id").cast("string"), F.lit(" { }\n"), F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", code.java_class(source).alias("code"))
 
 
+@query("SELECT doc_id, 'int f_filled(int a)' || chr(10) || '{ // }' || chr(10) || 'if (a) { return ' || doc_id || '; }' || chr(10) || 'return \"}\"; }' AS code FROM documents")
+def cpp_fill_in(spark, sf_dir):
+    source = F.concat(F.lit("// int f(int a) {\nint add(int a)\n{ // }\nif (a) { return "), F.col("doc_id").cast("string"), F.lit('; }\nreturn "}"; }\nint main() {}\n/* '), F.col("text"), F.lit(" */"))
+    return _docs(spark, sf_dir).select("doc_id", code.filled_function(source, F.lit("C++")).alias("code"))
+
+
+@query("SELECT doc_id, 'public static int f_filled(int a, int[] b) { return a + ' || doc_id || '; } }' AS code FROM documents")
+def java_fill_in(spark, sf_dir):
+    source = F.concat(F.lit("class X { public int add(int a, int[] b) { return a + "), F.col("doc_id").cast("string"), F.lit("; } }"))
+    return _docs(spark, sf_dir).select("doc_id", code.filled_function(source, F.lit("Java")).alias("code"))
+
+
+@query("SELECT doc_id, 'def f_filled(a, b):  ' || chr(10) || '    ' || chr(10) || '    return a + ' || doc_id || chr(10) AS code FROM documents")
+def python_fill_in(spark, sf_dir):
+    source = F.concat(F.lit('def add(a, b):  # sum\n    """adds"""\n    return a + '), F.col("doc_id").cast("string"), F.lit("\n"))
+    return _docs(spark, sf_dir).select("doc_id", code.filled_function(source, F.lit("Python")).alias("code"))
+
+
+_GO = 'package main\nimport (\n\t"fmt"\n\t"os"\n)\nfunc main() { fmt.Println("}") }\nfunc g() { fmt.Println('
+
+
+@query("SELECT doc_id, 'package main' || chr(10) || 'import (' || chr(10) || '\"fmt\"' || chr(10) || chr(9) || chr(10) || ')' || chr(10) || 'func main() { fmt.Println(\"}\") }' || chr(10) || 'func g() { fmt.Println(' || doc_id || ') }' AS code FROM documents")
+def go_import_prune(spark, sf_dir):
+    source = F.concat(F.lit(_GO), F.col("doc_id").cast("string"), F.lit(") }"))
+    return _docs(spark, sf_dir).select("doc_id", code.normalise(source, F.lit("Go"), F.lit(code.RUN)).alias("code"))
+
+
+@query("SELECT doc_id, 'package common' || chr(10) || 'import (' || chr(10) || '\"fmt\"' || chr(10) || chr(9) || '\"testing\"' || chr(10) || ')' || chr(10) || chr(10) || 'func g() { fmt.Println(' || doc_id || ') } // testing.T' AS code FROM documents")
+def go_test_file(spark, sf_dir):
+    source = F.concat(F.lit(_GO), F.col("doc_id").cast("string"), F.lit(") } // testing.T"))
+    return _docs(spark, sf_dir).select("doc_id", code.normalise(source, F.lit("Go"), F.lit(code.TEST)).alias("code"))
+
+
+@query(f"SELECT doc_id, CASE {_SEED_SQL} WHEN 'Java' THEN 'class A' ELSE 'public class Foo' END || ' {{ }}' || chr(10) || text AS code FROM documents")
+def normalise_programs(spark, sf_dir):
+    source = F.concat(F.lit("public class Foo { }\n"), F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", code.normalise(source, _seed(), F.lit(code.RUN)).alias("code"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'imports' || chr(10) ELSE '' END || text || chr(10) || 'test ' || doc_id AS code FROM documents")
+def test_programs(spark, sf_dir):
+    imports = F.when(F.col("doc_id") % 2 == 0, "imports").otherwise("")
+    test = F.concat(F.lit("test "), F.col("doc_id").cast("string"))
+    return _docs(spark, sf_dir).select("doc_id", code.test_program(F.col("text"), test, imports, _seed()).alias("code"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'no tests' WHEN 3 THEN 'fuzzy and unit tests' END AS problem FROM documents")
+def suite_problems(spark, sf_dir):
+    fuzzy = F.when(F.col("doc_id") % 4 >= 2, F.array(F.struct(F.lit("1").alias("stdin_input"), F.col("text").alias("expected_output"))))
+    unit = F.when(F.col("doc_id") % 2 == 1, F.array(F.struct(F.lit("Go").alias("language"), F.col("text").alias("test_case"), F.lit("").alias("imports"))))
+    return _docs(spark, sf_dir).select("doc_id", testing.suite_problem(F.struct(fuzzy.alias("fuzzy_suite"), unit.alias("unit_test_suite"))).alias("problem"))
+
+
+@query("SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'zero: ' ELSE 'one: ' END || '{input_code}' AS template FROM documents")
+def template_lookup(spark, sf_dir):
+    templates = {"t0": "zero: {input_code}", "t1": "one: {input_code}"}
+    name = F.concat(F.lit("t"), (F.col("doc_id") % 2).cast("string"))
+    return _docs(spark, sf_dir).select("doc_id", text.lookup(templates, name, "prompt template").alias("template"))
+
+
+@query("SELECT sha256(concat_ws(chr(31), lang, 'Java', text, 'test ' || doc_id)) AS id, lang AS seed_language, 'Java' AS target_language, text AS seed_code, 'test ' || doc_id AS test_case, 'sig' AS signature FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL")
+def dataset_requests(spark, sf_dir):
+    rows = _docs(spark, sf_dir).where("lang is not null and text is not null")
+    rows = rows.select(F.col("lang").alias("source_lang"), F.lit("Java").alias("target_lang"), F.col("text").alias("input_code"), F.concat(F.lit("test "), F.col("doc_id").cast("string")).alias("test_code"), F.lit("sig").alias("target_signature"))
+    made = io.dataset_requests(rows, list(LANGUAGES), "plain", "temperature", "m")
+    return made.select("id", "seed_language", "target_language", "seed_code", F.col("test_suite.unit_test_suite")[0]["test_case"].alias("test_case"), F.col("target_signatures")[0]["signature"].alias("signature"))
+
+
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'const readline = require(''readline'');' || chr(10) || 'readline(' || doc_id || ')' WHEN 1 THEN 'import fs from ''fs'';' || chr(10) || 'import x; fs.y(' || doc_id || ')' ELSE 'prompt = require(' || doc_id || ')' END AS code FROM documents")
 def js_import_inject(spark, sf_dir):
     n = F.col("doc_id").cast("string")
@@ -337,23 +408,25 @@ def signature_lookup(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", evaluate.signature_of(listed, _seed()).alias("signature"))
 
 
+_ITEMS = "(SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark)"
+
+
 def _tested(spark: SparkSession, sf_dir: str, unit: bool) -> DataFrame:
-    """Documents joined to the benchmark items that their id picks, as edges with tests of all languages."""
-    n = 40
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(F.col("item_id") < n).select("item_id", F.col("text").alias("item"))
-    rows = _docs(spark, sf_dir).withColumn("item_id", F.col("doc_id") % n).join(items, "item_id")
+    """Documents joined to the benchmark items that their id picks by place, as edges with tests of all languages."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("text").alias("item"), (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("place"))
+    rows = _docs(spark, sf_dir).withColumn("place", F.col("doc_id") % items.count()).join(items, "place")
     tests = F.array(*[F.struct(F.lit(x).alias("language"), F.concat(F.lit(f"{x}:"), F.col("item")).alias("test_case"), F.lit("").alias("imports")) for x in ("Python", "Java", "Python")])
     fuzzy = F.array(*[F.struct(F.lit(str(i)).alias("stdin_input"), F.concat(F.lit(f"{i}:"), F.col("item")).alias("expected_output")) for i in range(3)])
     suite = F.struct((fuzzy if not unit else F.expr("cast(array() as array<struct<stdin_input:string,expected_output:string>>)")).alias("fuzzy_suite"), tests.alias("unit_test_suite"))
     return rows.select(F.col("doc_id").cast("string").alias("request_id"), F.lit(1).alias("edge_id"), _seed().alias("target_language"), F.col("text").alias("code"), suite.alias("test_suite"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS request_id, i AS test_idx, CAST(i AS VARCHAR) AS stdin, i || ':' || b.text AS expected FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40, range(3) t(i)")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS request_id, i AS test_idx, CAST(i AS VARCHAR) AS stdin, i || ':' || b.text AS expected FROM documents d JOIN {_ITEMS} b ON b.place = d.doc_id % b.n, range(3) t(i)")
 def attach_fuzzy_tests(spark, sf_dir):
     return testing.fuzzy_runs(_tested(spark, sf_dir, False)).select("request_id", *_long("test_idx"), "stdin", "expected")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS request_id, i AS test_idx, CASE lang WHEN 'fr' THEN 'Java:' ELSE 'Python:' END || b.text AS test_code FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40, range(2) t(i) WHERE lang = 'en' OR (lang = 'fr' AND i = 0)")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS request_id, i AS test_idx, CASE lang WHEN 'fr' THEN 'Java:' ELSE 'Python:' END || b.text AS test_code FROM documents d JOIN {_ITEMS} b ON b.place = d.doc_id % b.n, range(2) t(i) WHERE lang = 'en' OR (lang = 'fr' AND i = 0)")
 def attach_unit_tests(spark, sf_dir):
     return testing.unit_runs(_tested(spark, sf_dir, True)).select("request_id", *_long("test_idx"), "test_code")
 
@@ -375,17 +448,24 @@ def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.verify(rows, runner, CONFIG)
 
 
-_VERIFY_SQL = """
+_VERIFY_SQL = (
+    """
 v AS (SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN 'FAILED_NO_EXTRACTED' ELSE coalesce(
   CASE WHEN doc_id % 7 = 0 THEN 'FAILED_EXECUTION' WHEN doc_id % 4 = 0 THEN 'FAILED_VERIFICATION' END,
   CASE WHEN (doc_id + 1) % 7 = 0 THEN 'FAILED_EXECUTION' WHEN (doc_id + 1) % 4 = 0 THEN 'FAILED_VERIFICATION' END,
-  CASE WHEN (doc_id + 2) % 7 = 0 THEN 'FAILED_EXECUTION' WHEN (doc_id + 2) % 4 = 0 THEN 'FAILED_VERIFICATION' END, 'TRANSLATION_FOUND') END AS status FROM documents)
+  CASE WHEN (doc_id + 2) % 7 = 0 THEN 'FAILED_EXECUTION' WHEN (doc_id + 2) % 4 = 0 THEN 'FAILED_VERIFICATION' END, 'TRANSLATION_FOUND') END AS status,
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE array_to_string([CASE WHEN (doc_id + i) % 4 <> 0 THEN 'ok:true' ELSE 'bad:false' END FOR i IN [0, 1, 2]], ',') END AS tests,
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE """
+    + _TRIMMED.format("text")
+    + """ END AS code FROM documents)
 """
+)
 
 
-@query(f"WITH {_VERIFY_SQL} SELECT CAST(doc_id AS VARCHAR) AS id, status FROM v")
+@query(f"WITH {_VERIFY_SQL} SELECT CAST(doc_id AS VARCHAR) AS id, status, tests, code FROM v")
 def verify_batch(spark, sf_dir):
-    return _verified(spark, sf_dir).select("id", "status")
+    tests = F.array_join(F.transform("fuzzy_tests", lambda t: F.concat_ws(":", t["actual_output"], t["passed"].cast("string"))), ",")
+    return _verified(spark, sf_dir).select("id", "status", tests.alias("tests"), F.col("extracted_source_code").alias("code"))
 
 
 @query(f"WITH {_VERIFY_SQL} SELECT status, count(*) AS n FROM v GROUP BY status")
@@ -402,10 +482,10 @@ def failure_reason(spark, sf_dir):
 # --- Trees of translations -----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_EVAL} SELECT request_id, edge_id, level, status, CASE WHEN status LIKE 'SKIPPED%' THEN '' ELSE code END AS code FROM done")
+@query(f"WITH {_EVAL} SELECT request_id, edge_id, level, status, CASE WHEN status LIKE 'SKIPPED%' THEN '' ELSE code END AS code, CASE WHEN status LIKE 'SKIPPED%' THEN '' ELSE response END AS response, CASE WHEN status LIKE 'SKIPPED%' THEN '' ELSE 'Translate ' || src || ' to ' || dst || ':' || chr(10) || source || chr(10) || '{{signature}}{{extra_prompt_data}}' END AS prompt FROM done")
 def toct_edges(spark, sf_dir):
     _, edges, _ = _toct(spark, sf_dir)
-    return edges.select("request_id", *_long("edge_id"), "level", "status", F.col("extracted_source_code").alias("code"))
+    return edges.select("request_id", *_long("edge_id"), "level", "status", F.col("extracted_source_code").alias("code"), F.col("inference_output").alias("response"), "prompt")
 
 
 @query(f"WITH {_EVAL} SELECT status, count(*) AS n FROM done GROUP BY status")
@@ -449,16 +529,15 @@ def first_translation(spark, sf_dir):
     return metrics.first_translation(_flat(spark, sf_dir))
 
 
-@query(f"WITH {_EVAL}, f AS (SELECT request_id, bool_or(status = 'TRANSLATION_FOUND' AND parent_id = -1) AS d, bool_or(status = 'TRANSLATION_FOUND') AS i FROM flat GROUP BY request_id) SELECT count(*) AS requests, round(100.0 * count(*) FILTER (d) / count(*), 6) AS ca_direct, round(100.0 * count(*) FILTER (i) / count(*), 6) AS ca_intermediates FROM f")
+@query(f"WITH {_EVAL}, f AS (SELECT request_id, bool_or(status = 'TRANSLATION_FOUND' AND parent_id = -1) AS d, bool_or(status = 'TRANSLATION_FOUND') AS i FROM flat GROUP BY request_id) SELECT count(*) AS requests, round(100.0 * count(*) FILTER (d) / count(*), 6) AS ca_direct, round(100.0 * count(*) FILTER (i) / count(*), 6) AS ca_intermediates, round(100.0 * count(*) FILTER (i) / count(*) - 100.0 * count(*) FILTER (d) / count(*), 6) AS difference FROM f")
 def ca_stats(spark, sf_dir):
     s = metrics.ca_stats(_flat(spark, sf_dir))
-    return s.select("requests", F.round("ca_direct", 6).alias("ca_direct"), F.round("ca_intermediates", 6).alias("ca_intermediates"))
+    return s.select("requests", F.round("ca_direct", 6).alias("ca_direct"), F.round("ca_intermediates", 6).alias("ca_intermediates"), F.round("difference", 6).alias("difference"))
 
 
-@query(f"WITH {_EVAL}, f AS (SELECT seed, request_id, bool_or(status = 'TRANSLATION_FOUND') AS i FROM flat GROUP BY ALL) SELECT seed AS seed_language, count(*) AS requests, count(*) FILTER (i) AS found FROM f GROUP BY CUBE (seed)")
+@query(f"WITH {_EVAL}, f AS (SELECT seed, target, request_id, bool_or(status = 'TRANSLATION_FOUND') AS i FROM flat GROUP BY ALL) SELECT seed AS seed_language, target AS request_target_language, count(*) AS requests, count(*) FILTER (i) AS found, round(100.0 * count(*) FILTER (i) / count(*), 6) AS ca FROM f GROUP BY CUBE (seed, target)")
 def ca_cube(spark, sf_dir):
-    cube = metrics.ca_cube(_flat(spark, sf_dir))
-    return cube.where("request_target_language is null").select("seed_language", "requests", "found")
+    return metrics.ca_cube(_flat(spark, sf_dir)).withColumn("ca", F.round("ca", 6))
 
 
 @query(f"WITH {_EVAL}, t AS (SELECT (rid + edge_id + i) % 13 = 0 AS slow FROM flat, range(2) k(i) WHERE status NOT LIKE 'SKIPPED%' AND r > 1 AND dst = target) SELECT count(*) AS tests, count(*) FILTER (slow) AS timeouts, round(100.0 * count(*) FILTER (slow) / count(*), 6) AS timeout_pct FROM t")
@@ -478,6 +557,11 @@ def tree_edges_coloured(spark, sf_dir):
     return tree.select("request_id", *_long("parent_edge_id", "edge_id"), "status", "colour")
 
 
+@query(f"WITH {_EVAL} SELECT DISTINCT request_id, edge_id, dst AS label, status, CASE status WHEN 'TRANSLATION_FOUND' THEN 'green' WHEN 'TRANSLATED' THEN 'blue' WHEN 'SKIPPED_TRANSLATION_FOUND' THEN 'grey' WHEN 'SKIPPED_PARENT_FAILED' THEN 'grey' ELSE 'red' END AS colour FROM flat UNION ALL SELECT DISTINCT request_id, -1, seed, 'ROOT', 'skyblue' FROM flat")
+def tree_nodes_coloured(spark, sf_dir):
+    return flatten.tree_nodes(_flat(spark, sf_dir)).select("request_id", *_long("edge_id"), "label", "status", "colour")
+
+
 # --- Independent attempts ------------------------------------------------------------------------------------------
 
 
@@ -547,6 +631,31 @@ def dedupe_calls(spark, sf_dir):
     return done.select("doc_id", "answer", "key")
 
 
+@query("WITH k AS (SELECT doc_id, length(text) AS answer, sha256(text) AS key FROM documents) SELECT doc_id, answer, key, key IN (SELECT key FROM k WHERE doc_id % 2 = 0) AS cache_hit FROM k")
+def cached_calls(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("key"), "text")
+    answer = F.length("text").cast("long").alias("answer")
+    stored = rows.where("doc_id % 2 = 0").select("key", answer).distinct()
+    done, _ = cache.through_cache(rows, lambda wanted: stored.join(wanted.select("key"), "key", "left_semi"), lambda once: once.withColumn("answer", F.length("text").cast("long")), ("answer",))
+    return done.select("doc_id", "answer", "key", "cache_hit")
+
+
+@query(f"WITH {_EVAL}, n AS (SELECT request_id, string_agg(status, ',' ORDER BY path_rank, edge_pos) AS statuses FROM flat GROUP BY request_id) SELECT q.request_id, coalesce(statuses, '') AS statuses FROM req q LEFT JOIN n ON q.request_id = n.request_id")
+def responses(spark, sf_dir):
+    out = service.respond(requests(spark, sf_dir), inference(), execution(), CONFIG)
+    statuses = F.flatten(F.transform("paths", lambda p: F.transform(p["translation_edges"], lambda e: e["status"])))
+    return out.select(F.col("translation_request.id").alias("request_id"), F.array_join(statuses, ",").alias("statuses"))
+
+
+@query(f"WITH {_EVAL} SELECT request_id, path_rank, edge_pos, status, CASE WHEN status LIKE 'SKIPPED%' THEN '' ELSE code END AS extracted_code FROM flat")
+def saved_responses(spark, sf_dir):
+    out = service.respond(requests(spark, sf_dir), inference(), execution(), CONFIG)
+    folder = SharedFolder(spark, f"{shared_folder(spark)}/responses-{uuid.uuid4().hex}")
+    io.write_responses(out, folder.path, "out")
+    flat = flatten.flatten(io.read_responses(spark, f"{folder.path}/out.json"))
+    return flat.select("request_id", *_long("path_rank"), "edge_pos", "status", "extracted_code")
+
+
 @query("SELECT doc_id, lang AS source_lang, CASE doc_id % 2 WHEN 0 THEN 'Python' ELSE 'Java' END AS target_lang FROM documents WHERE lang = 'fr' AND doc_id % 2 = 0")
 def dataset_pair_filter(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("doc_id", F.col("lang").alias("source_lang"), F.when(F.col("doc_id") % 2 == 0, "Python").otherwise("Java").alias("target_lang"))
@@ -560,24 +669,24 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-@query("SELECT time_bucket(INTERVAL 30 SECONDS, ts) AS window_start, count(*) FILTER (event_type = 'view') AS n_fast, count(*) FILTER (event_type = 'click') AS n_slow FROM events GROUP BY 1")
+@query("WITH c AS (SELECT time_bucket(INTERVAL 30 SECONDS, ts) AS window_start, count(*) FILTER (event_type = 'view') AS n_fast, count(*) FILTER (event_type = 'click') AS n_slow FROM events GROUP BY 1) SELECT window_start, window_start + INTERVAL 30 SECONDS AS window_end, n_fast, n_slow, CASE WHEN greatest(n_fast, n_slow) > 0 THEN round((greatest(n_fast, n_slow) - least(n_fast, n_slow)) * 100.0 / greatest(n_fast, n_slow), 6) END AS lag_pct FROM c")
 def throughput_30s(spark, sf_dir):
-    return metrics.throughput(_events(spark, sf_dir), kind="event_type", fast="view", slow="click").select("window_start", "n_fast", "n_slow")
+    return metrics.throughput(_events(spark, sf_dir), kind="event_type", fast="view", slow="click").withColumn("lag_pct", F.round("lag_pct", 6))
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2, 3")
 def event_windows_tumbling(spark, sf_dir):
-    return jobs.event_windows(_events(spark, sf_dir), "1 hour").select("window_start", "event_type", "n")
+    return jobs.event_windows(_events(spark, sf_dir), "1 hour").withColumn("total", F.round("total", 3))
 
 
-@query("SELECT time_bucket(INTERVAL 30 MINUTES, ts) - k * INTERVAL 30 MINUTES AS window_start, event_type, count(*) AS n FROM events, range(2) t(k) GROUP BY 1, 2")
+@query("SELECT time_bucket(INTERVAL 30 MINUTES, ts) - k * INTERVAL 30 MINUTES AS window_start, time_bucket(INTERVAL 30 MINUTES, ts) - k * INTERVAL 30 MINUTES + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events, range(2) t(k) GROUP BY 1, 2, 3")
 def event_windows_sliding(spark, sf_dir):
-    return jobs.event_windows(_events(spark, sf_dir), "1 hour", "30 minutes").select("window_start", "event_type", "n")
+    return jobs.event_windows(_events(spark, sf_dir), "1 hour", "30 minutes").withColumn("total", F.round("total", 3))
 
 
-@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k")
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOURS AS session_end, count(*) AS n FROM s GROUP BY user_id, k")
 def event_sessions(spark, sf_dir):
-    return jobs.event_sessions(_events(spark, sf_dir), "2 hours").select("user_id", "session_start", "n")
+    return jobs.event_sessions(_events(spark, sf_dir), "2 hours")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,18 +7,24 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder; its lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session's ``spark.checkpoint.dir`` names, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. On a cluster one has
-    to be set; a temporary one serves local sessions alone (tests).
+    On a cluster one has to be set; a temporary one serves local sessions alone
+    (tests).
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder; its lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
