@@ -234,17 +234,22 @@ def test_large_group_of_near_copies(spark):
     assert kept == [0, *range(1000, 1050)]
 
 
-def test_appended_and_cut_copies_come_together(spark):
+def test_copies_of_every_kind_come_together(spark):
+    """1200 pairs of a likeness of 0.8 or more: scattered edits, a passage appended, the end cut off."""
     rng = np.random.default_rng(11)
     rows = []
-    for i in range(150):
-        n = int(rng.integers(120, 260))
+    for i in range(400):
+        n = int(rng.integers(80, 160))
         w = [f"n{x}" for x in rng.integers(0, 3000, n)]
         more = [f"n{x}" for x in rng.integers(0, 3000, int(0.23 * (n - 4)))]
-        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(w + more)), (10 * i + 2, " ".join(w[: n - int(0.19 * (n - 4))]))]
+        edited = list(w)
+        for k in rng.choice(n, max(1, n // 60), replace=False):
+            edited[k] = "edit"
+        rows += [(10 * i, w), (10 * i + 1, w + more), (10 * i + 2, w[: n - int(0.19 * (n - 4))]), (10 * i + 3, edited)]
+    rows = [(i, " ".join(w)) for i, w in rows]
     sets = {i: shingles(t) for i, t in rows}
-    for i in range(0, 1500, 10):
-        assert jaccard(sets[i], sets[i + 1]) >= 0.8 and jaccard(sets[i], sets[i + 2]) >= 0.8
+    for i in range(0, 4000, 10):
+        assert all(jaccard(sets[i], sets[i + k]) >= 0.8 for k in (1, 2, 3))
     got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, KIND)).collect()}
     assert got == {i: i // 10 * 10 for i, _ in rows}
 

@@ -2,6 +2,8 @@ import importlib
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from codeloom.llm import registry, simhash
 
@@ -27,11 +29,22 @@ def test_stages(spark, tmp_path):
 
 
 def test_stages_take_odd_tables(spark):
-    rows = [(1, None, None, None, None), (None, "x", "en", "s", 1), (2, "", "en", "s", 0), (2, "", "en", "s", 0)]
+    rows = [(1, None, None, None, None), (None, "x", "en", "s", 1), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (7, "w " * 30000, "en", "s", 60000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(k) for k, c in enumerate(("score", "blob", "node", "key", "gap", "n_words", "sequence_id", "spans"))})
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SMALL)
+        assert out.count() > 0 and stage(spark, docs.limit(0), SMALL).count() == 0
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns, name
+            assert out.where("doc_id is null").count() == 1, name
+
+
+def test_secrets_of_the_pipeline_are_masked(spark):
+    rows = [(1, "token=abcdefghijklmnop here", "en", "s", 27), (2, "nothing", "en", "s", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[1:]:
-        assert stage(spark, docs, SMALL).count() > 0
-        assert stage(spark, docs.limit(0), SMALL).count() == 0
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.secrets(spark, docs, SMALL).collect()}
+    assert got == {1: ("[secret] here", 13), 2: ("nothing", 7)}
 
 
 def test_queries_are_registered():
