@@ -181,22 +181,6 @@ class ExpressionExecution:
         return runs.withColumns(dict(zip(("output", "exit_ok", "wall_ms"), self.outcome(F.col), strict=True)))
 
 
-@dataclass
-class RawExecution:
-    """Outcomes from expressions for the standard streams, the exit code and whether time ran out."""
-
-    stdout: Column
-    stderr: Column
-    exit_code: Column
-    timed_out: Column
-    keyed: bool = False
-
-    def execute(self, runs: DataFrame) -> DataFrame:
-        text = outcome_text(self.stdout, self.stderr, self.exit_code, self.timed_out)
-        ok = (self.exit_code == 0) & ~self.timed_out & (text != INVALID_UTF8)
-        return runs.withColumns({"output": text, "exit_ok": ok, "wall_ms": F.lit(0).cast("long")})
-
-
 class _Capped(threading.Thread):
     """Reads a stream to its end and keeps the first bytes; a longer stream ends the process at once."""
 

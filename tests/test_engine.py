@@ -222,6 +222,20 @@ def test_containers_from_config():
     assert (run.workers, run.for_tests, run.memory_mb) == (9, ("test",), 0)
 
 
+def test_stores_from_config(spark, tmp_path):
+    config = CONFIG.with_(endpoints=("x",), cache_path=str(tmp_path / "c"))
+    infer, run, stores = service.from_config(spark, config, 3)
+    assert infer.endpoints == ("x",) and stores.version == 3 and stores.inference.path.startswith(config.cache_path)
+    assert service.from_config(spark, config.with_(cache_path=""))[2].inference is None
+
+
+def test_answers_from_a_table(spark):
+    calls = spark.createDataFrame([("m", "p1"), ("m", "p2"), ("n", "p1")], "model string, prompt string")
+    answers = spark.createDataFrame([("m", "p1", "r1"), ("m", "p1", "r1")], "model string, prompt string, response string")
+    got = {(r["model"], r["prompt"]): (r["response"], r["inference_ok"]) for r in providers.TableInference(answers).infer(calls).collect()}
+    assert got == {("m", "p1"): ("r1", True), ("m", "p2"): ("", False), ("n", "p1"): ("", False)}
+
+
 def test_workers_bound_the_calls(spark):
     rows = spark.range(100)
     for workers in (1, 3, 4, 9):

@@ -1,3 +1,7 @@
+import json
+import sys
+import types
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +158,24 @@ def test_config(tmp_path):
         c.with_(regex_inference_only=False).check_verification()
     (tmp_path / "c.json").write_text('{"top-k": 3}')
     assert config.load(str(tmp_path / "c.json")).top_k == 3
+
+
+def test_yaml_config(tmp_path, monkeypatch):
+    # JSON is YAML, so a JSON reader stands in where no YAML reader is installed.
+    monkeypatch.setitem(sys.modules, "yaml", types.SimpleNamespace(safe_load=json.loads))
+    (tmp_path / "c.yaml").write_text('{"inferenceApiToken": "t", "executionContainers": {"Go": "go.sif"}, "numExecutionWorkers": 7, "cacheDatabasePath": "/c"}')
+    c = config.load(str(tmp_path / "c.yaml"))
+    assert (c.token, dict(c.containers), c.execution_workers, c.cache_path) == ("t", {"Go": "go.sif"}, 7, "/c")
+    monkeypatch.setitem(sys.modules, "yaml", None)
+    with pytest.raises(config.ConfigError, match="YAML"):
+        config.load(str(tmp_path / "c.yaml"))
+
+
+def test_scanner():
+    src = 'f("}") // {\n{ a { b } /* } */ } c'
+    assert src[: code.block_end(src, "Java", 0)].endswith("*/ }")
+    assert code.block_end("{ {", "Go", 0) is None and code.block_end("} x", "C++", 0) is None
+    assert code.blanked("a // b\nc", "C++", "comment") == "a     \nc"
+    assert code.python_function("x = '#'\ndef f(a): # no\n    return '#' + a\n") == ("f", "def f(a): \n    return '#' + a\n")
+    assert code.cpp_function('/* int f(int a) {} */\nint g(int a)\n{ return "}"; }\n') == ("g", 'int g(int a)\n{ return "}"; }')
+    assert code.prune_go_imports('import (\n"a/b"\n"c"\n)\nassert.X(b.Y)') == 'import (\n"a/b"\n\t"github.com/stretchr/testify/assert"\n)\nassert.X(b.Y)'
