@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -64,10 +65,38 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables written in each open scope, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """A scope at whose end the tables written in it are deleted; it gives ``keep``, which writes a table that stays."""
+    made: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame, rows: int | None = None) -> DataFrame:
+        out = checkpointed(df, rows)
+        kept.append(made.pop())
+        return out
+
+    _SCOPES.append(made)
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        if _SCOPES:
+            _SCOPES[-1].extend(kept)
+        for path in made:
+            SharedFolder(spark, path).delete("")
+
+
 def discard_tables(spark: SparkSession) -> None:
     """Delete the tables that this session has written on the way; results that still read them are lost."""
     SharedFolder(spark, shared_folder(spark)).delete("tables")
@@ -130,30 +159,31 @@ def connected_components(edges: DataFrame, rows: int, max_rounds: int = 60) -> D
     edges, so that both sides of the join are dealt anew and a hub's edges can
     be split over tasks.
     """
-    def star(pairs: DataFrame, small: bool, size: int) -> DataFrame:
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        if small:
-            both = both.where("b < a")
-        least = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), 2 * size)
-        linked = both.join(least, "a")
-        if small:
-            out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    with tidy(edges.sparkSession) as keep:
+        def star(pairs: DataFrame, small: bool, size: int) -> DataFrame:
+            both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            if small:
+                both = both.where("b < a")
+            least = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), 2 * size)
+            linked = both.join(least, "a")
+            if small:
+                out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+            else:
+                out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            return out.where("a <> b").distinct()
+
+        current = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), rows)
+        sums = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        before = sums(current)
+        for _ in range(max_rounds):
+            if not before[0]:
+                break
+            current = checkpointed(star(checkpointed(star(current, False, before[0]), 2 * before[0]), True, 2 * before[0]), 2 * before[0])
+            now = sums(current)
+            if now == before:
+                break
+            before = now
         else:
-            out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return out.where("a <> b").distinct()
-
-    current = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), rows)
-    sums = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = sums(current)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        current = checkpointed(star(checkpointed(star(current, False, before[0]), 2 * before[0]), True, 2 * before[0]), 2 * before[0])
-        now = sums(current)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("connected components did not settle")
-    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    return nodes.join(current.select(F.col("a").alias("node"), F.col("b").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component"))
+            raise RuntimeError("connected components did not settle")
+        nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+        return keep(nodes.join(current.select(F.col("a").alias("node"), F.col("b").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component")), 2 * rows)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpointed, in_batches, table
+from codeloom.llm.common import checkpointed, in_batches, table, tidy
 from codeloom.llm.tokens import LIMIT, token_pieces
 
 #: Pieces that one task packs at once.
@@ -116,37 +116,38 @@ def pack(pieces: DataFrame, capacity: int = LIMIT, per_partition: int = PER_PART
     replaced; every row gets its place, repeated rows included; an empty table
     gives an empty result.
     """
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset", "gap")]
-    known = checkpointed(pieces.select(*names).withColumn("__uid", F.monotonically_increasing_id()))
-    small = known.where(F.col("length") < capacity).select(F.col("__uid").alias("uid"), "length")
-    n = small.count()
-    if not n:
-        none = F.lit(0).cast("long")
-        return known.select(*names, F.col("__uid").alias("sequence_id"), none.alias("offset"), none.alias("gap"))
-    done: list[DataFrame] = []
-    state = checkpointed(_pack_partitions(small, max(1, -(-n // per_partition)), capacity, 0))
-    deal = 0
-    while rounds is None or deal < rounds:
-        deal += 1
-        is_open = (F.col("gap") > 0) & (F.col("room") > 0)
-        pool = state.where(is_open)
-        size, bins = pool.agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
-        if not size:
-            break
-        again = checkpointed(_pack_partitions(pool, max(1, -(-size // per_partition)), capacity, deal))
-        now = again.agg(F.count(F.when(F.col("offset") == 0, 1))).first()[0]
-        if now >= bins:
-            break
-        # Full bins of a partition with a gap keep it: no bound speaks for them alone.
-        done.append(state.where(~is_open))
-        state = again
-    placed = state
-    for d in done:
-        placed = placed.unionByName(d)
-    placed = placed.select(F.col("uid").alias("__uid"), F.col("bin").alias("__bin"), F.col("offset").alias("__offset"), F.col("gap").alias("__gap"))
-    zero = F.lit(0).cast("long")
-    out = known.join(placed, "__uid", "left")
-    return out.select(*names, F.coalesce("__bin", "__uid").alias("sequence_id"), F.coalesce("__offset", zero).alias("offset"), F.coalesce("__gap", zero).alias("gap"))
+    with tidy(pieces.sparkSession) as keep:
+        names = [c for c in pieces.columns if c not in ("sequence_id", "offset", "gap")]
+        known = checkpointed(pieces.select(*names).withColumn("__uid", F.monotonically_increasing_id()))
+        small = known.where(F.col("length") < capacity).select(F.col("__uid").alias("uid"), "length")
+        n = small.count()
+        if not n:
+            none = F.lit(0).cast("long")
+            return keep(known.select(*names, F.col("__uid").alias("sequence_id"), none.alias("offset"), none.alias("gap")))
+        done: list[DataFrame] = []
+        state = checkpointed(_pack_partitions(small, max(1, -(-n // per_partition)), capacity, 0))
+        deal = 0
+        while rounds is None or deal < rounds:
+            deal += 1
+            is_open = (F.col("gap") > 0) & (F.col("room") > 0)
+            pool = state.where(is_open)
+            size, bins = pool.agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
+            if not size:
+                break
+            again = checkpointed(_pack_partitions(pool, max(1, -(-size // per_partition)), capacity, deal))
+            now = again.agg(F.count(F.when(F.col("offset") == 0, 1))).first()[0]
+            if now >= bins:
+                break
+            # Full bins of a partition with a gap keep it: no bound speaks for them alone.
+            done.append(state.where(~is_open))
+            state = again
+        placed = state
+        for d in done:
+            placed = placed.unionByName(d)
+        placed = placed.select(F.col("uid").alias("__uid"), F.col("bin").alias("__bin"), F.col("offset").alias("__offset"), F.col("gap").alias("__gap"))
+        zero = F.lit(0).cast("long")
+        out = known.join(placed, "__uid", "left")
+        return keep(out.select(*names, F.coalesce("__bin", "__uid").alias("sequence_id"), F.coalesce("__offset", zero).alias("offset"), F.coalesce("__gap", zero).alias("gap")))
 
 
 def pack_documents(docs: DataFrame, capacity: int = LIMIT, vocabulary: str | None = None) -> DataFrame:

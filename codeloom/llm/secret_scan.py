@@ -16,7 +16,7 @@ from dataclasses import astuple, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import SENT_ROWS, checkpointed, meet, shared_folder, table, text_or_empty
+from codeloom.llm.common import SENT_ROWS, checkpointed, meet, shared_folder, table, text_or_empty, tidy
 from codeloom.runtime import SharedFolder
 
 
@@ -145,29 +145,30 @@ def incremental_scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple
     doc_id as text. ``fresh`` has a row for each blob that was scanned, clean
     ones included, and is added to the ledger.
     """
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("blob", blob_id(F.col("text"))).withColumn("id_text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    paths = checkpointed(rows.select("doc_id", "id_text", "blob"))
-    first = paths.groupBy("blob").agg(F.min("id_text").alias("id_text"))
-    if ledger is None:
-        todo = first.withColumn("done", F.expr("cast(array() as array<string>)"))
-    else:
-        todo = first.join(ledger.done(), "blob", "left").withColumn("done", F.coalesce("done", F.expr("cast(array() as array<string>)")))
-        todo = todo.where(F.size(F.array_except(F.array(*[F.lit(r.version) for r in rules]), "done")) > 0)
-    todo = checkpointed(todo)
-    key = ["id_text", "blob"]
-    count, partly = todo.count(), todo.where(F.size("done") > 0).count()
-    rest = paths.select(*key).distinct().count() - count
-    if rest <= min(count, SENT_ROWS) and not partly:
-        # Nearly every blob is new: the few other rows are sent around in place of the texts.
-        others = paths.select(*key).distinct().join(todo.select(*key), key, "left_anti")
-        at = meet(rows, others, key, rest, "blob", "left_anti").withColumn("done", F.expr("cast(array() as array<string>)"))
-    else:
-        at = meet(rows, todo, key, count, "blob")
-    # The new rows are written before anything filters them: a filter on findings would else move below the join and scan every copy.
-    fresh = checkpointed(scan(at, rules).dropDuplicates(["blob"]))
-    if ledger is not None:
-        ledger.add(fresh, rules)
-    return paths.select("doc_id", "blob"), fresh
+    with tidy(docs.sparkSession) as keep:
+        rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("blob", blob_id(F.col("text"))).withColumn("id_text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        paths = keep(rows.select("doc_id", "id_text", "blob"))
+        first = paths.groupBy("blob").agg(F.min("id_text").alias("id_text"))
+        if ledger is None:
+            todo = first.withColumn("done", F.expr("cast(array() as array<string>)"))
+        else:
+            todo = first.join(ledger.done(), "blob", "left").withColumn("done", F.coalesce("done", F.expr("cast(array() as array<string>)")))
+            todo = todo.where(F.size(F.array_except(F.array(*[F.lit(r.version) for r in rules]), "done")) > 0)
+        todo = checkpointed(todo)
+        key = ["id_text", "blob"]
+        count, partly = todo.count(), todo.where(F.size("done") > 0).count()
+        rest = paths.select(*key).distinct().count() - count
+        if rest <= min(count, SENT_ROWS) and not partly:
+            # Nearly every blob is new: the few other rows are sent around in place of the texts.
+            others = paths.select(*key).distinct().join(todo.select(*key), key, "left_anti")
+            at = meet(rows, others, key, rest, "blob", "left_anti").withColumn("done", F.expr("cast(array() as array<string>)"))
+        else:
+            at = meet(rows, todo, key, count, "blob")
+        # The new rows are written before anything filters them: a filter on findings would else move below the join and scan every copy.
+        fresh = keep(scan(at, rules).dropDuplicates(["blob"]))
+        if ledger is not None:
+            ledger.add(fresh, rules)
+        return paths.select("doc_id", "blob"), fresh
 
 
 def dirty_blobs(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -207,8 +208,9 @@ def scan_documents(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[R
     null doc_id are scanned as well; other columns are ignored; an empty table
     gives an empty result.
     """
-    paths, known = _known(docs, ledger, rules)
-    found = findings(paths, known, rules)
+    with tidy(docs.sparkSession) as keep:
+        paths, known = _known(docs, ledger, rules)
+        found = keep(findings(paths, known, rules))
     order = {r.kind: k for k, r in enumerate(rules) if r.base}
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == order[kind])).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*order.values()))
@@ -236,8 +238,9 @@ def mask_secrets(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rul
     they are, null texts null. A row is masked by its own text's findings,
     whatever other rows share its doc_id. An empty table gives an empty result.
     """
-    _, known = _known(docs, ledger, rules)
-    dirty = dirty_blobs(known, rules).toDF("__blob", "__spans")
+    with tidy(docs.sparkSession) as keep:
+        _, known = _known(docs, ledger, rules)
+        dirty = keep(dirty_blobs(known, rules).toDF("__blob", "__spans"))
     own = docs.columns
     spread = F.xxhash64(F.col("doc_id").cast("string"))
     joined = meet(docs.withColumn("__blob", blob_id(text_or_empty())).withColumn("__spread", spread), dirty, ["__blob"], dirty.count(), "__spread", "left")
@@ -258,7 +261,8 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = Ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
-    incremental_scan(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), ledger)
-    found = checkpointed(scan_documents(docs, ledger))
+    with tidy(spark):
+        incremental_scan(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), ledger)
+    found = scan_documents(docs, ledger)
     ledger.delete()
     return found

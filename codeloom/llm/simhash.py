@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import SENT_ROWS, checkpointed, connected_components, in_batches, meet, table, text_or_empty
+from codeloom.llm.common import SENT_ROWS, checkpointed, connected_components, in_batches, meet, table, text_or_empty, tidy
 
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
@@ -299,19 +299,20 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = RADIUS) ->
     with its component; a component whose ids are all null has a null id; an
     empty table gives an empty result.
     """
-    fps = checkpointed(fingerprints(docs, width))
-    classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), fps.count())
-    n = classes.count()
-    masks = len(block_masks(n, radius))
-    edges = checkpointed(linked_fingerprints(classes, n, radius).distinct(), n * masks)
-    label = checkpointed(connected_components(edges, edges.count()).select(F.col("node").alias("fp"), "component"), n)
-    linked = classes.join(label, "fp")
-    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = meet(linked.select("fp", "component"), least, ["component"], label.count(), "fp").select("fp", F.struct("component_id").alias("of"))
-    # Written, so that both sides of the last join are dealt anew and a class of many rows can be split.
-    own = F.when(F.col("of").isNotNull(), F.col("of.component_id")).otherwise(F.col("least"))
-    ids = checkpointed(classes.join(linked, "fp", "left").select("fp", own.alias("component_id")), n)
-    return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with tidy(docs.sparkSession) as keep:
+        fps = checkpointed(fingerprints(docs, width))
+        classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), fps.count())
+        n = classes.count()
+        masks = len(block_masks(n, radius))
+        edges = checkpointed(linked_fingerprints(classes, n, radius).distinct(), n * masks)
+        label = checkpointed(connected_components(edges, edges.count()).select(F.col("node").alias("fp"), "component"), n)
+        linked = classes.join(label, "fp")
+        least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+        linked = meet(linked.select("fp", "component"), least, ["component"], label.count(), "fp").select("fp", F.struct("component_id").alias("of"))
+        # Written, so that both sides of the last join are dealt anew and a class of many rows can be split.
+        own = F.when(F.col("of").isNotNull(), F.col("of.component_id")).otherwise(F.col("least"))
+        ids = checkpointed(classes.join(linked, "fp", "left").select("fp", own.alias("component_id")), n)
+        return keep(fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 # Near-duplicate documents by likeness of their shingle sets.
@@ -616,25 +617,26 @@ def near_duplicate_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: fl
     shingles. Every candidate is checked against the whole sets. Null, empty
     and blank texts are one class. An empty table gives an empty result.
     """
-    docs = docs.where(F.col("doc_id").isNotNull())
-    marks, classes, n, seed = _classes(docs, width)
-    leaders = checkpointed(classes.groupBy("fp").agg(F.min("node").alias("id")), n)
-    same = classes.select("node", "fp").join(leaders.withColumnRenamed("id", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
-    pairs = checkpointed(same.unionByName(_candidates(leaders, leaders.count())).where("a <> b").distinct(), 2 * n)
-    pairs = checkpointed(_can_be_alike(pairs, classes, least), n)
-    links = checkpointed(_alike(pairs, docs, classes, width, least).distinct(), n)
-    label = checkpointed(connected_components(links, max(1, links.count())), n)
-    label = _joined(docs, marks, classes, n, seed, label, width, least)
-    # What says more than that a document is alone: linked classes with their group's first document, and classes of several rows.
-    linked = checkpointed(classes.select("node", "rep").join(label, "node"), n)
-    first = linked.groupBy("component").agg(F.min("rep").alias("first"))
-    linked = meet(linked, first, ["component"], label.count(), "node").select("node", "first")
-    several = classes.where("n > 1").select("node", "rep").join(linked.select("node"), "node", "left_anti").select("node", F.col("rep").alias("first"))
-    changed = checkpointed(linked.unionByName(several), n)
-    rows = marks.groupBy("doc_id", "blob", "node").agg(F.count("*").alias("n_same"))
-    rows = meet(rows, changed, ["node"], changed.count(), "blob", "left")
-    own = F.struct("doc_id", "blob")
-    return rows.select("doc_id", "blob", F.coalesce(F.col("first.doc_id"), F.col("doc_id")).alias("group_id"), "n_same", (F.col("first").isNull() | (F.col("first") == own)).alias("kept"))
+    with tidy(docs.sparkSession) as keep:
+        docs = docs.where(F.col("doc_id").isNotNull())
+        marks, classes, n, seed = _classes(docs, width)
+        leaders = checkpointed(classes.groupBy("fp").agg(F.min("node").alias("id")), n)
+        same = classes.select("node", "fp").join(leaders.withColumnRenamed("id", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+        pairs = checkpointed(same.unionByName(_candidates(leaders, leaders.count())).where("a <> b").distinct(), 2 * n)
+        pairs = checkpointed(_can_be_alike(pairs, classes, least), n)
+        links = checkpointed(_alike(pairs, docs, classes, width, least).distinct(), n)
+        label = checkpointed(connected_components(links, max(1, links.count())), n)
+        label = _joined(docs, marks, classes, n, seed, label, width, least)
+        # What says more than that a document is alone: linked classes with their group's first document, and classes of several rows.
+        linked = checkpointed(classes.select("node", "rep").join(label, "node"), n)
+        first = linked.groupBy("component").agg(F.min("rep").alias("first"))
+        linked = meet(linked, first, ["component"], label.count(), "node").select("node", "first")
+        several = classes.where("n > 1").select("node", "rep").join(linked.select("node"), "node", "left_anti").select("node", F.col("rep").alias("first"))
+        changed = checkpointed(linked.unionByName(several), n)
+        rows = marks.groupBy("doc_id", "blob", "node").agg(F.count("*").alias("n_same"))
+        rows = meet(rows, changed, ["node"], changed.count(), "blob", "left")
+        own = F.struct("doc_id", "blob")
+        return keep(rows.select("doc_id", "blob", F.coalesce(F.col("first.doc_id"), F.col("doc_id")).alias("group_id"), "n_same", (F.col("first").isNull() | (F.col("first") == own)).alias("kept")), n)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, least: float = LIKENESS) -> DataFrame:
@@ -645,7 +647,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, least: flo
     and a text the one whose columns come first as JSON stays. A null text
     counts as empty; an empty table gives an empty result.
     """
-    groups = checkpointed(near_duplicate_groups(docs, width, least))
+    groups = near_duplicate_groups(docs, width, least)
     gone = groups.where("not kept or n_same > 1").select(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob"), "kept")
     count = gone.count()
     marked = docs.withColumn("__id", F.col("doc_id")).withColumn("__blob", F.unhex(F.md5(text_or_empty().cast("binary"))))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpointed, meet, table, text_or_empty
+from codeloom.llm.common import checkpointed, meet, table, text_or_empty, tidy
 
 KEY = "codeloom"
 #: Rounds of new tries for colliding entities before the space of a kind counts as exhausted.
@@ -296,19 +296,20 @@ def resolve(found: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame
     the order of rows. Addresses are told apart within their domain; as domains
     are, too, whole addresses are.
     """
-    names = found.columns
-    state = checkpointed(found.withColumn("tries", F.lit(0)))
-    real = state.select("kind", F.col("value").alias("made")).withColumn("taken", F.lit(True))
-    for _ in range(rounds):
-        made = state.withColumn("made", surrogate(F.col("kind"), F.col("value"), F.col("gender"), F.col("tries"), key))
-        held = made.groupBy("kind", "made").agg(F.min(F.struct("tries", "value")).alias("first"), F.count("*").alias("n"))
-        bad = held.join(real, ["kind", "made"], "left").where("n > 1 or taken")
-        checked = checkpointed(made.join(bad.select("kind", "made", "first", "taken"), ["kind", "made"], "left"))
-        lost = F.col("first").isNotNull() & (F.coalesce("taken", F.lit(False)) | (F.col("first.value") != F.col("value")))
-        if checked.where(lost).isEmpty():
-            return state
-        state = checkpointed(checked.select(*names, (F.col("tries") + F.when(lost, 1).otherwise(0)).alias("tries")))
-    raise ValueError("a kind of entity has more members than surrogates of its format")
+    with tidy(found.sparkSession) as keep:
+        names = found.columns
+        state = checkpointed(found.withColumn("tries", F.lit(0)))
+        real = state.select("kind", F.col("value").alias("made")).withColumn("taken", F.lit(True))
+        for _ in range(rounds):
+            made = state.withColumn("made", surrogate(F.col("kind"), F.col("value"), F.col("gender"), F.col("tries"), key))
+            held = made.groupBy("kind", "made").agg(F.min(F.struct("tries", "value")).alias("first"), F.count("*").alias("n"))
+            bad = held.join(real, ["kind", "made"], "left").where("n > 1 or taken")
+            checked = checkpointed(made.join(bad.select("kind", "made", "first", "taken"), ["kind", "made"], "left"))
+            lost = F.col("first").isNotNull() & (F.coalesce("taken", F.lit(False)) | (F.col("first.value") != F.col("value")))
+            if checked.where(lost).isEmpty():
+                return keep(state)
+            state = checkpointed(checked.select(*names, (F.col("tries") + F.when(lost, 1).otherwise(0)).alias("tries")))
+        raise ValueError("a kind of entity has more members than surrogates of its format")
 
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
