@@ -20,9 +20,13 @@ def or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+#: White space of any script.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_ws(c: Column) -> Column:
-    """Without white space of any script at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any script at both ends; only the ends are looked at."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def render_prompt(template: Column, code: Column, source: Column, target: Column, extra: Column, signature: Column, comment: bool = False) -> Column:

@@ -16,7 +16,7 @@ from codeloom.functions.text import extract_code, inference_key, lookup, render_
 from codeloom.operators.cache import EXECUTION_VALUES, INFERENCE_VALUES, Stores, through_cache
 from codeloom.operators.testing import EDGE_KEY, checked_suites, execute, fold_tests, fuzzy_runs, tested_in_row, tested_status, unit_runs, with_programs, with_verdicts
 from codeloom.plans.planner import plan_edges, plan_path_edges
-from codeloom.runtime import checkpointed
+from codeloom.runtime import checkpointed, settled
 from codeloom.schemas import DEAD, FOUND, FUZZY_RESULT, NO_EXTRACTED, NO_INFERENCE, PARENT_FAILED, SKIPPED_FOUND, TRANSLATED, UNIT_RESULT
 
 REQUEST_PARTS = ("seed_code", "test_suite", "prompt_template_name", "regex_template_name", "model_name", "target_signatures", "extra_prompt_data")
@@ -91,15 +91,18 @@ def attempt(edges: DataFrame, inference, execution, config: EngineConfig, stores
     keep what is new. Expressions are evaluated within the row.
     """
     stores = stores or Stores()
+    expressions = in_row(inference, execution, config)
     prompted = with_prompts(edges, config, extra)
     answered = infer(prompted, inference, config, stores.known(stores.inference, config.use_inference_cache))
+    if expressions:
+        answered = settled(answered, response=F.col("response"), inference_ok=F.col("inference_ok"))
     got = extract(answered, config).withColumnRenamed("wall_ms", "wall_inference_ms")
-    got = got.withColumn("early", _early(config)).withColumn("code", F.when(F.col("inference_ok"), F.col("code")).otherwise(""))
+    found = {"extracted": F.col("extracted"), "code": F.when(F.col("inference_ok"), F.col("code")).otherwise("")}
+    got = (settled(got, **found) if expressions else got.withColumns(found)).withColumn("early", _early(config))
     at_target = F.col("target_language") == F.col("final_target")
     live = F.col("early").isNull()
-    if in_row(inference, execution, config):
-        out = tested_in_row(got, execution, unit_by_language)
-        out = out.withColumns({c: F.when(live, F.col(c)) for c in ("all_passed", "first_event", "wall_test_ms", "fuzzy_tests", "unit_tests")})
+    if expressions:
+        out = tested_in_row(got, execution, live, unit_by_language)
     else:
         # Providers without a key answer once, as those with one do: what they said is tested and joined back.
         got = checkpointed(got)
@@ -170,7 +173,8 @@ def _tree_in_row(requests: DataFrame, edges: DataFrame, inference, execution, co
 
     def tried(rows: DataFrame) -> DataFrame:
         done = attempt(rows, inference, execution, config, carry=(*carry, "blocked"))
-        blank = {"status": F.col("blocked"), **_blank()}
+        done = settled(done, status=F.coalesce("blocked", "status"))
+        blank = _blank()
         return done.select(*carry, *[F.when(F.col("blocked").isNotNull(), blank[c]).otherwise(F.col(c)).alias(c) if c in blank else F.col(c) for c in RESULT])
 
     no_block = F.lit(None).cast("string").alias("blocked")

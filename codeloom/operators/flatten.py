@@ -43,17 +43,25 @@ def _fields(struct: str) -> list[str]:
 def nest(requests: DataFrame, edges: DataFrame, path_edges: DataFrame) -> DataFrame:
     """(translation_request, paths) of every request; a request without paths keeps an empty list. Sort by id where responses are handed out.
 
-    A path's edges and a request's paths are collected, both bounded by the
-    planned tree of one request.
+    A request's edges and steps are collected, both bounded by its planned
+    tree; paths are put together within the row, so wide edges are dealt once,
+    however many paths they stand on.
     """
-    rows = path_edges.join(edges, ["request_id", "edge_id"])
-    placed = rows.select("request_id", "path_rank", "edge_pos", "memoized", edge_response(rows).alias("edge"))
-    paths = placed.groupBy("request_id", "path_rank").agg(F.array_sort(F.collect_list(F.struct("edge_pos", "memoized", "edge"))).alias("steps"))
-    one = F.struct(F.transform("steps", lambda s: s["edge"]).alias("translation_edges"), F.transform("steps", lambda s: s["memoized"]).alias("edge_index_memoized"))
-    listed = paths.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("path_rank", one.alias("path")))).alias("ranked"))
+    plain = edges.withColumn("memoized", F.lit(False))
+    made = plain.groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("edge_id", edge_response(plain).alias("edge")))).alias("made"))
+    steps = path_edges.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("path_rank", "edge_pos", "edge_id", "memoized"))).alias("steps"))
     whole = conform(requests, REQUEST)
-    joined = whole.join(listed, whole["id"] == listed["request_id"], "left")
-    nested = F.coalesce(F.transform("ranked", lambda p: p["path"]), F.expr(f"cast(array() as array<{PATH}>)"))
+    own = whole.withColumn("request_id", F.col("id"))
+    joined = own.join(steps.join(made, "request_id"), "request_id", "left")
+    held = F.filter("steps", lambda s: F.array_contains(F.map_keys("made"), s["edge_id"]))
+    ranks = F.array_distinct(F.transform(held, lambda s: s["path_rank"]))
+
+    def path(rank: Column) -> Column:
+        own_steps = F.filter(held, lambda s: s["path_rank"] == rank)
+        edge = lambda s: F.try_element_at("made", s["edge_id"]).withField("usedMemoization", s["memoized"])
+        return F.struct(F.transform(own_steps, edge).alias("translation_edges"), F.transform(own_steps, lambda s: s["memoized"]).alias("edge_index_memoized"))
+
+    nested = F.coalesce(F.transform(ranks, path), F.array()).cast(f"array<{PATH}>")
     return joined.select(F.struct(*whole.columns).alias("translation_request"), nested.alias("paths"))
 
 

@@ -9,6 +9,7 @@ from codeloom.config import EngineConfig
 from codeloom.functions.code import RUN, TEST, normalise, test_program
 from codeloom.functions.text import count_verdict, execution_key, trim_ws
 from codeloom.operators.cache import EXECUTION_VALUES, through_cache
+from codeloom.runtime import settled
 from codeloom.schemas import FAILED, FAILED_EXECUTION, FAILED_TIMEOUT, FAILED_VERIFICATION, FOUND, INVALID_UTF8, SUCCESS, TIMEOUT_MARK, UNIT_TEST
 
 #: Columns that name an edge.
@@ -86,49 +87,53 @@ def with_verdicts(done: DataFrame, transcoder: bool = False) -> DataFrame:
     return done.withColumns({"passed": passed, "event": event, "actual_output": shown})
 
 
-def tested_in_row(edges: DataFrame, execution, by_language: bool = True) -> DataFrame:
-    """Edges (with code and test_suite) with all_passed, first_event, wall_test_ms and the tests of both kinds.
+def tested_in_row(edges: DataFrame, execution, live: Column, by_language: bool = True) -> DataFrame:
+    """Edges (with code and test_suite) with all_passed, first_event, wall_test_ms and the tests of both kinds, which only ``live`` ones have.
 
     For providers that are functions of a run: an edge's tests stay an array of
     its row, so nothing is dealt anew and nothing is joined back. Suites are of
     one kind, so that the order of runs is that of the array.
     """
     language, code = F.col("target_language"), F.col("code")
-    own = edges.withColumn("__run", normalise(code, language, F.lit(RUN), False))
+    run_code = normalise(code, language, F.lit(RUN), False)
     units = F.coalesce(F.col("test_suite.unit_test_suite"), F.array().cast(f"array<{UNIT_TEST}>"))
     units = F.filter(units, lambda t: t["language"] == language) if by_language else units
     none = F.lit("")
 
-    def fields(suite: int, i: Column, stdin: Column, expected: Column, test: Column, imports: Column, kind: str, source: Column, executed: Column) -> dict[str, Column]:
-        return {"suite": F.lit(suite), "test_idx": i, "language": language, "stdin": stdin, "expected": expected, "test_code": test, "imports": imports, "kind": F.lit(kind), "source_code": source, "executed_code": executed}
-
-    def ran(run: dict[str, Column]) -> Column:
-        ask = lambda name: run[name] if name in run else F.col(name)
-        output, ok, wall = execution.outcome(ask)
-        passed, event, shown = judged(run["suite"], ok, output, run["expected"])
-        kept = {"stdin_input": run["stdin"], "expected_output": run["expected"], "source_code": run["source_code"], "actual_output": shown, "passed": passed, "executed_code": run["executed_code"], "event": event, "wall": wall}
-        return F.struct(*[c.alias(n) for n, c in kept.items()])
+    def programs(t: Column) -> tuple[Column, Column]:
+        source = test_program(code, t["test_case"], F.coalesce(t["imports"], none), language)
+        return source, normalise(source, language, F.lit(TEST), False)
+
+    def outcome(suite: int, i: Column, stdin: Column, expected: Column, test: Column, imports: Column, kind: str, source: Column, executed: Column) -> Column:
+        run = {"suite": F.lit(suite), "test_idx": i, "language": language, "stdin": stdin, "expected": expected, "test_code": test, "imports": imports, "kind": F.lit(kind), "source_code": source, "executed_code": executed}
+        output, ok, wall = execution.outcome(lambda name: run[name] if name in run else F.col(name))
+        passed, event, shown = judged(run["suite"], ok, output, expected)
+        return F.struct(shown.alias("actual_output"), passed.alias("passed"), event.alias("event"), wall.alias("wall"))
+
+    kind = "array<struct<actual_output:string,passed:boolean,event:string,wall:bigint>>"
+    fuzzy = F.transform(F.col("test_suite.fuzzy_suite"), lambda t, i: outcome(0, i, t["stdin_input"], t["expected_output"], none, none, RUN, code, run_code))
+    unit = F.transform(units, lambda t, i: outcome(1, i, none, none, t["test_case"], F.coalesce(t["imports"], none), TEST, *programs(t)))
+    listed = lambda c: F.coalesce(F.when(live, c), F.array().cast(kind)).cast(kind)
+    own = settled(edges, __fuzzy=listed(fuzzy), __unit=listed(unit))
+    every = F.concat("__fuzzy", "__unit")
 
-    fuzzy = F.transform(F.col("test_suite.fuzzy_suite"), lambda t, i: ran(fields(0, i, t["stdin_input"], t["expected_output"], none, none, RUN, code, F.col("__run"))))
+    def shown_fuzzy(o: Column, i: Column) -> Column:
+        t = F.get(F.col("test_suite.fuzzy_suite"), i)
+        return F.struct(t["stdin_input"].alias("stdin_input"), t["expected_output"].alias("expected_output"), o["actual_output"].alias("actual_output"), o["passed"].alias("passed"), run_code.alias("executed_code"))
 
-    def unit(t: Column, i: Column) -> Column:
-        imports = F.coalesce(t["imports"], none)
-        source = test_program(code, t["test_case"], imports, language)
-        return ran(fields(1, i, none, none, t["test_case"], imports, TEST, source, normalise(source, language, F.lit(TEST), False)))
+    def shown_unit(o: Column, i: Column) -> Column:
+        source, executed = programs(F.get(units, i))
+        return F.struct(source.alias("source_code"), o["actual_output"].alias("actual_output"), o["passed"].alias("passed"), executed.alias("executed_code"))
 
-    kind = "array<struct<stdin_input:string,expected_output:string,source_code:string,actual_output:string,passed:boolean,executed_code:string,event:string,wall:bigint>>"
-    own = own.withColumns({"__fuzzy": F.coalesce(fuzzy, F.array().cast(kind)), "__unit": F.transform(units, unit)})
-    every = F.concat("__fuzzy", "__unit")
-    pick = lambda c, names: F.transform(c, lambda t: F.struct(*[t[n].alias(n) for n in names]))
     return own.withColumns(
         {
             "all_passed": F.when(F.size(every) > 0, F.forall(every, lambda t: t["passed"])),
             "first_event": F.get(F.filter(F.transform(every, lambda t: t["event"]), lambda e: e.isNotNull()), F.lit(0)),
             "wall_test_ms": F.aggregate(every, F.lit(0).cast("long"), lambda s, t: s + t["wall"]),
-            "fuzzy_tests": pick("__fuzzy", ("stdin_input", "expected_output", "actual_output", "passed", "executed_code")),
-            "unit_tests": pick("__unit", ("source_code", "actual_output", "passed", "executed_code")),
+            "fuzzy_tests": F.transform("__fuzzy", shown_fuzzy),
+            "unit_tests": F.transform("__unit", shown_unit),
         }
-    ).drop("__run", "__fuzzy", "__unit")
+    ).drop("__fuzzy", "__unit")
 
 
 def fold_tests(runs: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +29,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, each computed once a row.
+
+    A generator of one row stands between them and their uses; without it the
+    planner may copy an expression into every place that names it, and plans
+    of several levels grow to many times their size.
+    """
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 class SharedFolder:
     """Files under a path of any file system that Spark reads."""
 
