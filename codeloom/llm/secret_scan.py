@@ -154,7 +154,8 @@ def incremental_scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple
         else:
             todo = first.join(ledger.done(), "blob", "left").withColumn("done", F.coalesce("done", F.expr("cast(array() as array<string>)")))
             todo = todo.where(F.size(F.array_except(F.array(*[F.lit(r.version) for r in rules]), "done")) > 0)
-        todo = checkpointed(todo)
+        n = paths.count()
+        todo = checkpointed(todo, n)
         key = ["id_text", "blob"]
         count, partly = todo.count(), todo.where(F.size("done") > 0).count()
         rest = paths.select(*key).distinct().count() - count
@@ -165,7 +166,7 @@ def incremental_scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple
         else:
             at = meet(rows, todo, key, count, "blob")
         # The new rows are written before anything filters them: a filter on findings would else move below the join and scan every copy.
-        fresh = keep(scan(at, rules).dropDuplicates(["blob"]))
+        fresh = keep(scan(at, rules).dropDuplicates(["blob"]), n)
         if ledger is not None:
             ledger.add(fresh, rules)
         return paths.select("doc_id", "blob"), fresh

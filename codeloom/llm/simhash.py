@@ -408,13 +408,13 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def _can_be_alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def _can_be_alike(pairs: DataFrame, classes: DataFrame, n: int, least: float) -> DataFrame:
     """``pairs`` without those whose sizes and parities show that too many shingles are in one set only.
 
     Two sets differ in at least as many shingles as their parities differ in
     bits, so that no pair of a likeness of ``least`` or more goes.
     """
-    nodes = checkpointed(_ends(pairs))
+    nodes = checkpointed(_ends(pairs), n)
     count = nodes.count()
     about = checkpointed(meet(classes.select("node", "size", "bits"), nodes, ["node"], count, "node", "left_semi"), count)
     near_in_size = F.abs(F.col("m") - F.col("n")) <= (F.col("m") + F.col("n")) * ((1 - least) / (1 + least)) + 1e-6
@@ -433,9 +433,9 @@ def _can_be_alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFra
     return both.where(differ <= (F.col("m") + F.col("n")) * ((1 - least) / (1 + least)) + 1e-6).select("a", "b").distinct()
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
+def _alike(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, width: int, least: float) -> DataFrame:
     """The pairs of classes whose whole shingle sets have a likeness of ``least`` or more."""
-    wanted = checkpointed(_ends(pairs))
+    wanted = checkpointed(_ends(pairs), n)
     count = wanted.count()
     named = classes.select("node", "rep").join(wanted, "node").select("node", "rep.doc_id", "rep.blob")
 
@@ -581,8 +581,8 @@ def _joined(docs: DataFrame, marks: DataFrame, classes: DataFrame, n: int, seed:
     draws large groups together, then what is still apart meets.
     """
     def checked(found: DataFrame) -> DataFrame:
-        pairs = checkpointed(_can_be_alike(found.where("key is null").select("a", "b").distinct(), classes, least))
-        return label if pairs.isEmpty() else _merged(label, _alike(pairs, docs, classes, width, least), n)
+        pairs = checkpointed(_can_be_alike(found.where("key is null").select("a", "b").distinct(), classes, n, least), 2 * n)
+        return label if pairs.isEmpty() else _merged(label, _alike(pairs, docs, classes, n, width, least), n)
 
     some = label.count()
     of = label.withColumnRenamed("component", "of")
@@ -592,13 +592,13 @@ def _joined(docs: DataFrame, marks: DataFrame, classes: DataFrame, n: int, seed:
         prefixes = prefixes.dropDuplicates(["node"])
     prefixes = meet(prefixes, of, ["node"], some, "node", "left")
     rows = prefixes.select("node", own, "size", F.posexplode("keys").alias("at", "key"))
-    found = checkpointed(_sharing(rows, least, False).distinct())
+    found = checkpointed(_sharing(rows, least, False).distinct(), 4 * n)
     label = checked(found)
     hot = found.where("key is not null").select(F.col("a").alias("node"), "key", "size", "at")
     if hot.isEmpty():
         return label
     rows = hot.join(label.withColumnRenamed("component", "of"), "node", "left").select("key", own, "node", "size", "at")
-    return checked(checkpointed(_sharing(rows, least, True).distinct()))
+    return checked(checkpointed(_sharing(rows, least, True).distinct(), 4 * n))
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: float = LIKENESS) -> DataFrame:
@@ -623,8 +623,8 @@ def near_duplicate_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: fl
         leaders = checkpointed(classes.groupBy("fp").agg(F.min("node").alias("id")), n)
         same = classes.select("node", "fp").join(leaders.withColumnRenamed("id", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
         pairs = checkpointed(same.unionByName(_candidates(leaders, leaders.count())).where("a <> b").distinct(), 2 * n)
-        pairs = checkpointed(_can_be_alike(pairs, classes, least), n)
-        links = checkpointed(_alike(pairs, docs, classes, width, least).distinct(), n)
+        pairs = checkpointed(_can_be_alike(pairs, classes, n, least), n)
+        links = checkpointed(_alike(pairs, docs, classes, n, width, least).distinct(), n)
         label = checkpointed(connected_components(links, max(1, links.count())), n)
         label = _joined(docs, marks, classes, n, seed, label, width, least)
         # What says more than that a document is alone: linked classes with their group's first document, and classes of several rows.
