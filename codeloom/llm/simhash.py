@@ -512,8 +512,8 @@ def _firsts(docs: DataFrame, marks: DataFrame, classes: DataFrame, n: int) -> Da
     return meet(rows, copies, ["doc_id", "blob"], count, "blob", "left_anti") if count <= SENT_ROWS else docs
 
 
-#: Pairs of one key beyond which its rows first meet the next few alone, and how many these are.
-HOT_PAIRS, NEXT_ROWS = 2000, 4
+#: Pairs of one key beyond which its rows first meet the next few alone, and how many these are; the first pass stays linear.
+HOT_PAIRS, NEXT_ROWS = 32, 4
 
 
 def _sharing(rows: DataFrame, least: float, whole: bool) -> DataFrame:
