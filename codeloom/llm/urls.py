@@ -146,6 +146,8 @@ class DigestArray:
         return [b[2] for b in best]
 
 
+#: Files that an application already has.
+_ADDED: set[tuple[str, str]] = set()
 _MAPPED: dict[str, DigestArray] = {}
 
 
@@ -189,11 +191,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str]] =
     if (own.agg(F.sum(F.octet_length("rule") + 17)).first()[0] or 0) > most:
         return _judge_by_join(rows, own, default)
     folder = tempfile.mkdtemp(prefix="codeloom-digests-")
-    # The driver serves the file from here; executors keep copies that go with the application.
-    weakref.finalize(spark.sparkContext, shutil.rmtree, folder, ignore_errors=True)
     file = DigestArray.write(((r["key"], r["rule"], r["verdict"]) for r in own.orderBy("key", "rule").toLocalIterator()), folder)
-    spark.sparkContext.addFile(file)
     name = os.path.basename(file)
+    if (spark.sparkContext.applicationId, name) in _ADDED:  # the same rules, of an earlier call
+        shutil.rmtree(folder, ignore_errors=True)
+    else:
+        # The driver serves the file from its folder; executors keep copies that go with the application.
+        weakref.finalize(spark.sparkContext, shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.addFile(file)
+        _ADDED.add((spark.sparkContext.applicationId, name))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _mapped(name)
