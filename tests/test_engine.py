@@ -46,6 +46,19 @@ def test_plan_sizes(spark, depth, paths, edges):
     assert planner.grow_edges_sql(rows, depth).count() == edges
 
 
+def test_recursive_plan_beyond_the_row_limit(spark):
+    rows = io.requests_from_rows(spark, [request(str(k)) for k in range(3)])
+    name = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "100")
+    try:
+        grown = planner.grow_edges_sql(rows, 3)
+        got = sorted(map(tuple, grown.groupBy("request_id", "level").count().collect()))
+    finally:
+        spark.conf.set(name, before)
+    assert got == [(str(k), level, n) for k in range(3) for level, n in ((1, 5), (2, 20), (3, 80))]
+
+
 def test_plan_corner_cases(spark):
     rows = io.requests_from_rows(spark, [request("none", target="Cobol"), request("twice", languages=["Python", "Python"]), request("same", seed="Python"), request("empty", languages=[])])
     plan = planner.plan_edges(rows, 2)
