@@ -215,6 +215,34 @@ def test_ranking_order():
     assert ((m.score(x) >= quality.ACCEPT).astype(int) == y).mean() > 0.97
 
 
+def test_ranking_takes_all_pairs():
+    rng = np.random.default_rng(1)
+    y = (rng.random(300) < 0.7).astype(int)
+    x = rng.normal(size=(300, quality.FEATURES)) ** 3 + 0.6 * y[:, None]
+    m = quality.fit(x, y, y.mean())
+    z, w = (x - x.mean(0)) / (x.std(0) + 1e-9), np.array(m.weights)
+    d = (z[y == 1][:, None] - z[y == 0]).reshape(-1, quality.FEATURES)
+    slope = (d / (1 + np.exp(d @ w))[:, None]).mean(0) - quality.RIDGE * w
+    assert np.abs(slope).max() < 1e-8
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_quality_learns_from_every_label(spark, monkeypatch, sent):
+    monkeypatch.setattr(quality, "SENT_ROWS", sent)
+    rng = random.Random(3)
+    good = [" ".join(rng.choice(["Alpha", "beta", "g.amma", "12"]) for _ in range(rng.randint(1, 9))) for _ in range(6500)]
+    bad = [" ".join(rng.choice(["beta", "##", "g.amma", "12"]) for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    texts = list(enumerate(good + bad))
+    docs = spark.createDataFrame(texts, KIND)
+    labels = spark.createDataFrame([(i, int(i < len(good))) for i, _ in texts], "doc_id long, quality int")
+    known = [(i, t) for i, t in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sum(i < len(good) for i, _ in known) > 4000
+    x, y = np.array([quality.features(t.encode()) for _, t in known]), np.array([int(i < len(good)) for i, _ in known])
+    want, got = quality.fit(x, y, y.mean()), quality.learn(docs, labels)
+    for part in ("mean", "scale", "weights", "threshold"):
+        assert np.allclose(getattr(got, part), getattr(want, part), rtol=1e-7, atol=1e-9), part
+
+
 def test_licences(spark, docs):
     got = {r["doc_id"]: r for r in licenses.scan_licences(docs).collect()}
     for r in docs.collect():
