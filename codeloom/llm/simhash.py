@@ -321,7 +321,8 @@ SHINGLE_WORDS, LIKENESS = 5, 0.8
 #: First candidates are fingerprints of word pairs within this many bits; what they leave apart is met by shared shingles.
 CANDIDATE_RADII = (2, 4, 8, 13)
 #: Documents at least, and the largest share, whose shingles are counted to order prefixes, and shingles ranked; no result depends on them.
-SAMPLE_DOCS, SAMPLE_SHARE, RANKED = 2000, 256, 100_000
+#: A share that fell with the corpus would take shingles for rare that ever more documents hold.
+SAMPLE_DOCS, SAMPLE_SHARE, RANKED = 2000, 16, 500_000
 #: Bits of a set's parities: a power of two, this many times the set's size at least, and within bounds.
 PARITY_BITS, LEAST_PARITIES, MOST_PARITIES = 4, 512, 1 << 20
 #: Seeds that are tried until no two classes share a 64-bit name.
@@ -469,9 +470,17 @@ def _common_shingles(docs: DataFrame, n: int, width: int) -> np.ndarray:
 
     share = max(1, min(n // SAMPLE_DOCS, SAMPLE_SHARE))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select(text_or_empty().cast("binary").alias("data"))
-    counts = in_batches(some, work, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    top = counts.orderBy(F.desc("n"), "h").limit(RANKED).collect()
-    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+    counts = checkpointed(in_batches(some, work, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2"))
+    # The least count that at most RANKED shingles reach, found without sorting them all.
+    enough, ranked = 0, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():
+        ranked += r["k"]
+        if ranked > RANKED:
+            enough = r["n"] + 1
+            break
+    top = counts.where(F.col("n") >= enough).toArrow()
+    h, often = (top.column(c).to_numpy() for c in ("h", "n"))
+    return h[np.lexsort((h, often))].view(np.uint64)
 
 
 def _prefixes(docs: DataFrame, seed: int, common: np.ndarray, width: int, least: float) -> DataFrame:
@@ -481,7 +490,7 @@ def _prefixes(docs: DataFrame, seed: int, common: np.ndarray, width: int, least:
     ceil(least * size) - 1 shingles, in one order for all texts. Keys are the
     upper 40 bits; texts without words have none.
     """
-    by_hash = np.argsort(common)
+    by_hash = np.argsort(common).astype(np.int32)
     known = common[by_hash]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -512,25 +521,67 @@ def _firsts(docs: DataFrame, marks: DataFrame, classes: DataFrame, n: int) -> Da
     return meet(rows, copies, ["doc_id", "blob"], count, "blob", "left_anti") if count <= SENT_ROWS else docs
 
 
-#: Pairs of one key beyond which its rows first meet the next few alone, and how many these are; the first pass stays linear.
-HOT_PAIRS, NEXT_ROWS = 32, 4
+#: Pairs of one key beyond which its rows first meet a few others alone, how many these are, and the passes over such keys at most while they link; these passes stay linear.
+HOT_PAIRS, NEXT_ROWS, TURNS = 32, 4, 4
+#: Links for each row of such keys, below which another of these passes is not worth it.
+LEAST_LINKS = 0.01
+#: 64-bit words that parities are folded to where rows of such keys meet.
+SKETCH = 4
+
+
+def _sketch(bits: Column) -> Column:
+    """Parities folded to ``SKETCH`` words: two sets' differ in no more bits than the sets differ in shingles."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(SKETCH)), lambda k: F.aggregate(F.filter(bits, lambda _, i: F.pmod(i + 1 - k, F.lit(SKETCH)) == 0), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(w)))
+    return F.struct(*[words[k].alias(f"p{k}") for k in range(SKETCH)])
 
 
-def _sharing(rows: DataFrame, least: float, whole: bool) -> DataFrame:
-    """(a, b, key, size, at) from ``rows`` (key, of, node, size, at), one for each class and key.
+def _of_largest(key: np.ndarray, of: np.ndarray, turn: int) -> np.ndarray:
+    """For each row one of the rows of its key whose ``of`` most rows of the key have, another one each turn; rows are sorted by key and ``of``."""
+    n = len(key)
+    new_key = np.append(True, key[1:] != key[:-1])
+    new_run = new_key | np.append(True, of[1:] != of[:-1])
+    starts = np.flatnonzero(new_run)
+    length = np.diff(np.append(starts, n))[np.cumsum(new_run) - 1]
+    keys = np.flatnonzero(new_key)
+    group = np.cumsum(new_key) - 1
+    largest = length == np.maximum.reduceat(length, keys)[group]
+    rows = np.flatnonzero(largest)
+    several = np.bincount(group[rows], minlength=len(keys))
+    place = np.array([_H(int(k).to_bytes(8, "little", signed=True), turn) % m for k, m in zip(key[keys].tolist(), several.tolist(), strict=True)], np.int64)
+    return rows[np.cumsum(several) - several + place][group]
+
+
+def _sharing(rows: DataFrame, least: float, whole: bool, turn: int = 0) -> DataFrame:
+    """(a, b, key, size, at) from ``rows`` (key, of, node, size, at, sketches if there are any), one for each class and key.
 
     Rows without a key are pairs: classes that share a key, differ in ``of``
-    and can reach ``least`` by their sizes and the key's places. Rows are
-    sorted by key and ``of``, and a row meets only those of its key after its
-    own ``of``: a large group costs nothing within itself. Unless ``whole``,
-    rows of a key with very many pairs meet only the next few and come back
-    with their key (a is the class), to meet the others once these are linked.
+    and can reach ``least`` by their sizes, the key's places and sketches. Rows
+    are sorted by key and ``of``, and a row meets only those of its key after
+    its own ``of``: a large group costs nothing within itself. Unless
+    ``whole``, rows of a key with very many pairs meet only the next few, in
+    later turns one of the key's largest ``of``, and come back with their key
+    (a is the class), to meet the others once these are linked.
     """
+    sketches = [c for c in rows.columns if c in {f"p{k}" for k in range(SKETCH)}]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["a", "b", "key", "size", "at"], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        for key, of, ids, size, at in _by_shard(batches, ("key", "of", "node", "size", "at")):
+        for key, of, ids, size, at, *parts in _by_shard(batches, ("key", "of", "node", "size", "at", *sketches)):
             n = len(key)
+
+            def pairs(x: np.ndarray, y: np.ndarray, of=of, ids=ids, size=size, at=at, parts=parts) -> Iterator[pa.RecordBatch]:
+                both = np.minimum(size[x] - at[x], size[y] - at[y])
+                ok = (of[x] != of[y]) & (both * (1 + least) >= least * (size[x] + size[y]) - 1e-6)
+                x, y = x[ok], y[ok]
+                if parts and len(x):
+                    differ = sum(np.bitwise_count((p[x] ^ p[y]).view(np.uint64)).astype(np.int64) for p in parts)
+                    ok = differ <= (size[x] + size[y]) * ((1 - least) / (1 + least)) + 1e-6
+                    x, y = x[ok], y[ok]
+                if len(x):
+                    pair = np.unique(np.stack([np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])]), axis=1)
+                    none = [pa.nulls(pair.shape[1], k) for k in kinds[2:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), *none], names)
+
             new_key = key[1:] != key[:-1]
             ends = lambda new, n=n: np.append(np.flatnonzero(new) + 1, n)[np.concatenate([[0], np.cumsum(new)])]
             first = ends(new_key | (of[1:] != of[:-1]))
@@ -538,9 +589,11 @@ def _sharing(rows: DataFrame, least: float, whole: bool) -> DataFrame:
             if not whole:
                 group = np.concatenate([[0], np.cumsum(new_key)])
                 hot = np.bincount(group, count)[group] > HOT_PAIRS
-                count = np.where(hot, np.minimum(count, NEXT_ROWS), count)
                 if hot.any():
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids[hot], ids[hot], key[hot], size[hot], at[hot]), kinds, strict=True)], names)
+                    if turn:
+                        yield from pairs(np.flatnonzero(hot), _of_largest(key, of, turn)[hot])
+                count = np.where(hot, np.minimum(count, 0 if turn else NEXT_ROWS), count)
             rows = np.flatnonzero(count)
             total = np.cumsum(count[rows])
             cuts = np.unique(np.searchsorted(total, np.arange(0, int(total[-1]) if len(total) else 0, WALK_PAIRS)[1:])).tolist()
@@ -548,16 +601,9 @@ def _sharing(rows: DataFrame, least: float, whole: bool) -> DataFrame:
                 r = rows[lo:hi]
                 c = count[r]
                 x = np.repeat(r, c)
-                y = np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[r], c)
-                both = np.minimum(size[x] - at[x], size[y] - at[y])
-                ok = both * (1 + least) >= least * (size[x] + size[y]) - 1e-6
-                if not ok.any():
-                    continue
-                pair = np.unique(np.stack([np.maximum(ids[x[ok]], ids[y[ok]]), np.minimum(ids[x[ok]], ids[y[ok]])]), axis=1)
-                none = [pa.nulls(pair.shape[1], k) for k in kinds[2:]]
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), *none], names)
-
-    dealt = rows.repartition("key").sortWithinPartitions("key", "of").select("key", "of", "node", "size", "at")
+                yield from pairs(x, np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[r], c))
+
+    dealt = rows.repartition("key").sortWithinPartitions("key", "of", "node").select("key", "of", "node", "size", "at", *sketches)
     return in_batches(dealt, work, "a long, b long, key long, size int, at int")
 
 
@@ -577,12 +623,25 @@ def _joined(docs: DataFrame, marks: DataFrame, classes: DataFrame, n: int, seed:
     """``label`` (node, component) with the components linked that hold alike classes; no such pair is left out.
 
     Only classes of different components are compared. Keys that very many of
-    them share are taken twice: first each class meets a few others, which
-    draws large groups together, then what is still apart meets.
+    them share are taken several times: first each class meets a few others,
+    then one of the component that most classes of the key are in, as long as
+    that links many; then what is still apart meets.
     """
-    def checked(found: DataFrame) -> DataFrame:
-        pairs = checkpointed(_can_be_alike(found.where("key is null").select("a", "b").distinct(), classes, n, least), 2 * n)
-        return label if pairs.isEmpty() else _merged(label, _alike(pairs, docs, classes, n, width, least), n)
+    def checked(found: DataFrame, label: DataFrame) -> tuple[DataFrame, int]:
+        """``label`` merged by the pairs of ``found`` that are alike, and their number."""
+        with tidy(docs.sparkSession) as keep:
+            pairs = checkpointed(_can_be_alike(found.where("key is null").select("a", "b").distinct(), classes, n, least), 2 * n)
+            if pairs.isEmpty():
+                return label, 0
+            links = checkpointed(_alike(pairs, docs, classes, n, width, least))
+            count = links.count()
+            return (keep(_merged(label, links, n), n), count) if count else (label, 0)
+
+    def again(found: DataFrame, label: DataFrame) -> DataFrame:
+        """The rows of ``found`` that came back with their key, with their component now and their sketches."""
+        hot = found.where("key is not null").select(F.col("a").alias("node"), "key", "size", "at")
+        nodes = classes.select("node", _sketch(F.col("bits")).alias("p")).join(label.withColumnRenamed("component", "of"), "node", "left")
+        return hot.join(nodes, "node").select("key", own, "node", "size", "at", "p.*")
 
     some = label.count()
     of = label.withColumnRenamed("component", "of")
@@ -592,13 +651,19 @@ def _joined(docs: DataFrame, marks: DataFrame, classes: DataFrame, n: int, seed:
         prefixes = prefixes.dropDuplicates(["node"])
     prefixes = meet(prefixes, of, ["node"], some, "node", "left")
     rows = prefixes.select("node", own, "size", F.posexplode("keys").alias("at", "key"))
-    found = checkpointed(_sharing(rows, least, False).distinct(), 4 * n)
-    label = checked(found)
-    hot = found.where("key is not null").select(F.col("a").alias("node"), "key", "size", "at")
-    if hot.isEmpty():
+    found = checkpointed(_sharing(rows, least, False).distinct())
+    label, _ = checked(found, label)
+    for turn in range(1, TURNS + 1):
+        hot = found.where("key is not null").count()
+        if not hot:
+            return label
+        found = checkpointed(_sharing(again(found, label), least, False, turn).distinct())
+        label, links = checked(found, label)
+        if links < LEAST_LINKS * hot:
+            break
+    if found.where("key is not null").isEmpty():
         return label
-    rows = hot.join(label.withColumnRenamed("component", "of"), "node", "left").select("key", own, "node", "size", "at")
-    return checked(checkpointed(_sharing(rows, least, True).distinct(), 4 * n))
+    return checked(checkpointed(_sharing(again(found, label), least, True).distinct()), label)[0]
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: float = LIKENESS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fingerprints, SimHash components and near-duplicate groups against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -308,3 +309,29 @@ def test_connected_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 99)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges, 41).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 99, 99: 99}
+
+
+def test_texts_that_share_a_passage_do_not_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "RANKED", 0)  # nothing is known to be common
+    rng = random.Random(11)
+    # Shingles of this passage come early in every set.
+    texts = ["nine words that all of these 272 texts have " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(6)) for _ in range(600)]
+    texts[300:] = [" ".join([*texts[i - 300].split()[:-1], f"x{i}"]) for i in range(300, 600)]  # the last word differs: a likeness of 10 to 12
+    met, plain = [], simhash._can_be_alike
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_can_be_alike", counted)
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i % 300 for i in range(600)}
+    assert sum(met) < 20 * len(texts)  # a key's pairs are about 180,000
+
+
+def test_of_largest():
+    key, of = np.array([1, 1, 1, 1, 2, 3, 3, 3]), np.array([4, 5, 5, 6, 9, 1, 2, 3])
+    for turn in range(9):
+        at = simhash._of_largest(key, of, turn)
+        assert (key[at] == key).all() and set(of[at[:4]]) == {5} and len(set(at[5:])) == 1
+    assert len({simhash._of_largest(key, of, t)[5] for t in range(30)}) == 3
