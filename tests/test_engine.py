@@ -314,6 +314,18 @@ def test_round_trip_through_files(spark, tmp_path):
     assert flatten.tree_nodes(flatten.flatten(nested)).where("status = 'ROOT'").count() == 1
 
 
+def test_written_responses_do_not_repeat_their_code(spark, tmp_path):
+    rng = random.Random(5)
+    rows = io.requests_from_rows(spark, [request("a", seed_code="".join(rng.choice("abcdefgh \n") for _ in range(4000)))])
+    infer = providers.ExpressionInference(F.concat(F.lit("```"), F.col("source_code"), F.lit("```")))
+    nested = flatten.nest(rows, *evaluate.translate(rows, infer, providers.ExpressionExecution(F.lit("no")), CONFIG.with_(depth=2)))
+    whole = nested.select(F.to_json(F.struct("translation_request", "paths"))).first()[0]
+    io.write_responses(nested, str(tmp_path), "out")
+    for kind in ("json", "parquet"):
+        assert sum(f.stat().st_size for f in (tmp_path / f"out.{kind}").iterdir() if not f.name.startswith(".")) < len(whole) / 4
+    assert io.read_responses(spark, str(tmp_path / "out.json")).collect() == io.read_responses(spark, str(tmp_path / "out.parquet"), "parquet").collect()
+
+
 def test_engine_output_document(spark, tmp_path):
     doc = '{"translation_responses": [{"translation_request": {"id": "1", "seed_language": "Go"}, "paths": [{"translation_edges": [{"edge_id": 1, "parent_edge_id": -1, "status": "TRANSLATION_FOUND", "unit_tests": [{"source_code": "s", "actual_output": "CMD_TIMEOUT_KILLED"}]}], "edge_index_memoized": [false]}]}]}'
     (tmp_path / "o.json").write_text(doc)
