@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -77,7 +78,11 @@ _SCOPES: list[list[str]] = []
 
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
-    """A scope at whose end the tables written in it are deleted; it gives ``keep``, which writes a table that stays."""
+    """A scope at whose end the tables written in it are deleted; it gives ``keep``, which writes a table that stays.
+
+    The driver's garbage is collected then, so that its heap does not grow by
+    what the plans and events of scope after scope leave.
+    """
     made: list[str] = []
     kept: list[str] = []
 
@@ -95,6 +100,8 @@ def tidy(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
             _SCOPES[-1].extend(kept)
         for path in made:
             SharedFolder(spark, path).delete("")
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def discard_tables(spark: SparkSession) -> None:

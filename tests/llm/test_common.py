@@ -60,3 +60,13 @@ def test_blocks_of_a_benchmark_cover_it(spark):
     items = spark.createDataFrame([(k, f"item {k} has words of its own {k}") for k in range(30)], "item_id long, text string")
     blocks = list(decontaminate._blocks(items, "item_id", "text", 1))
     assert [len(b) for b in blocks] == [1] * 30
+
+
+def test_a_scope_collects_the_drivers_garbage(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = whole()
+    with common.tidy(spark) as keep:
+        kept = keep(common.checkpointed(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()).groupBy("count").agg(F.sum("k").alias("k")))
+    assert whole() > before
+    assert sorted(map(tuple, kept.collect())) == [(14, 20), (15, 1)]
